@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
+
 # Month names and their common short forms in the seven languages of the corpora.
 MONTHS = {
     1: "january jan januar janvier janv enero ene gennaio gen januari janeiro",
@@ -161,8 +163,9 @@ def with_normal_form(df: DataFrame, value: str, zone: str, locale: str, *, ambig
     if ambiguous not in ("earlier", "later") or nonexistent not in ("shift", "null"):
         raise ValueError("ambiguous is earlier or later; nonexistent is shift or null")
     v = F.regexp_replace(F.col(value), r"(?U)^\s+|\s+$", "")
-    step = df.withColumn("__v", v).withColumn("__s", F.split(common_notation(F.col("__v")), r"\|"))
-    step = step.withColumn("__p", F.when(F.col("__s").isNotNull(), parsed(F.col("__s"), F.col(zone), F.col(locale))))
+    step = df.withColumn("__v", once(v))
+    step = step.withColumn("__s", once(F.split(common_notation(F.col("__v")), r"\|")))
+    step = step.withColumn("__p", once(F.when(F.col("__s").isNotNull(), parsed(F.col("__s"), F.col(zone), F.col(locale)))))
     p = {k: F.col(f"__p.{k}") for k in ("form", "y", "mo", "d", "h", "mi", "s", "off", "zoned", "ep")}
     day = F.try_to_date(F.format_string("%04d-%02d-%02d", p["y"], F.coalesce(p["mo"], F.lit(1)), F.coalesce(p["d"], F.lit(1))), "yyyy-MM-dd")
     good_day = day.isNotNull() & (p["y"] >= 1)
@@ -179,12 +182,12 @@ def with_normal_form(df: DataFrame, value: str, zone: str, locale: str, *, ambig
         site = F.when(wall == as_utc, site)
     offset = F.when(p["off"].isNotNull(), F.timestamp_seconds(F.unix_timestamp(as_utc) - p["off"] * 60))
     instant = F.when(p["ep"].isNotNull(), F.timestamp_seconds(p["ep"])).when(~good_day | ~good_time, None).when(p["zoned"], offset).otherwise(site)
-    stamp = F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = F.date_format(F.to_utc_timestamp(F.col("__i"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     normal = (
         F.when(p["ep"].isNotNull() | p["h"].isNotNull(), stamp)
         .when(good_day & p["d"].isNotNull(), F.date_format(day, "yyyy-MM-dd"))
         .when(good_day & p["mo"].isNotNull(), F.date_format(day, "yyyy-MM"))
         .when(good_day & p["mo"].isNull() & p["d"].isNull(), F.format_string("%04d", p["y"]))
     )
-    step = step.withColumn(out, normal)
-    return step.withColumn(f"{out}_form", F.when(F.col(out).isNotNull(), p["form"])).drop("__v", "__s", "__p")
+    step = step.withColumn("__i", once(instant)).withColumn(out, once(normal))
+    return step.withColumn(f"{out}_form", F.when(F.col(out).isNotNull(), p["form"])).drop("__v", "__s", "__p", "__i")

@@ -7,7 +7,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -71,5 +72,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def once(expression: Column) -> Column:
+    """A column that is computed once: filters on it are not pushed below it, and later columns do not repeat it.
+
+    Large expressions that build on each other would otherwise be copied into every place that uses them."""
+    return F.explode(F.array(expression))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
