@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import contamination, encoding, mixing, quality, truncation
+    from . import contamination, encoding, language, mixing, names, ocr_noise, quality, subjects, truncation
 
     out: dict = {}
-    for module in (encoding, truncation, contamination, mixing, quality):
+    for module in (encoding, subjects, truncation, language, ocr_noise, names, contamination, mixing, quality):
         out.update(module.QUERIES)
     return out
 
