@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from .plans import timestamps
+from .plans import extra, reference, timestamps
+from .plans.runner import oracle, query
 
-FLAGSHIP = timestamps.p1_found
+FLAGSHIP = extra.quality_routes
 
 
 def queries() -> dict:
-    out: dict = {}
+    out = {name: query(build) for name, build in reference.BUILD.items()}
+    out.update(extra.QUERIES)
     out.update(timestamps.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {name: oracle(build) for name, build in reference.BUILD.items()}
+    out.update(extra.oracles())
+    return out
