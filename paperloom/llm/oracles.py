@@ -15,6 +15,6 @@ SELECT DISTINCT doc_id, item_id FROM wg JOIN bg USING (g)
 SQL["p10_word_counts"] = r"""
 SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
        CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')) AS BIGINT) AS word_count,
-       CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t\r\f\v]'))) AS BIGINT) AS line_count
+       CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f\v]'))) AS BIGINT) AS line_count
 FROM documents
 """
