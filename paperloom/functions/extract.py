@@ -6,6 +6,8 @@ names of the columns and returns an expression of struct(value, confidence, sour
 
 from __future__ import annotations
 
+import re
+
 from . import rules as R
 from .dialect import Spark
 
@@ -169,11 +171,42 @@ def signal_pattern(alternatives: str, open_end: bool) -> str:
     return WORD_BEFORE + "(?:" + alternatives + ")" + ("" if open_end else WORD_AFTER)
 
 
+def literals(alternatives: str) -> list[str] | None:
+    """For each top-level alternative the longest text that any match of it holds; None if one has none of two letters."""
+    parts, depth, start = [], 0, 0
+    for i, ch in enumerate(alternatives):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            parts.append(alternatives[start:i])
+            start = i + 1
+    out = []
+    for part in [*parts, alternatives[start:]]:
+        plain = part
+        while re.search(r"\([^()]*\)", plain):
+            plain = re.sub(r"\([^()]*\)[?*+]?", "\n", plain)  # groups say nothing certain
+        plain = re.sub(r"\[[^\]]*\][?*+]?|\\[a-zA-Z][?*+]?|\.[?*+]|\\\.\??", "\n", plain)
+        plain = re.sub(r".[?*]", "\n", plain)
+        longest = max(plain.split("\n"), key=len)
+        if len(longest) < 2:
+            return None
+        out.append(longest)
+    return out
+
+
+def signal_test(d: Spark, low: str, alternatives: str, open_end: bool) -> str:
+    """The pattern behind a cheap guard: a text that holds none of the literals is not searched."""
+    test = d.like(low, signal_pattern(alternatives, open_end))
+    found = literals(alternatives) if d.name == "spark" else None
+    if not found:
+        return test
+    return f"(({' OR '.join(d.contains(low, w) for w in dict.fromkeys(found))}) AND {test})"
+
+
 def type_scores(d: Spark, low: str, table: dict) -> str:
     """Array of struct(score, order, type, most) of all types; low: lower-case text."""
     rows = []
     for i, (name, signals) in enumerate(table.items()):
-        score = " + ".join(f"CASE WHEN {d.like(low, signal_pattern(p, o))} THEN {w} ELSE 0 END" for p, w, o in signals)
+        score = " + ".join(f"CASE WHEN {signal_test(d, low, p, o)} THEN {w} ELSE 0 END" for p, w, o in signals)
         rows.append(d.struct(score=f"({score})", o=f"-{i}", name=d.text(name), most=str(sum(w for _, w, _ in signals))))
     return d.array(*rows)
 

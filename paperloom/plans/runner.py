@@ -9,16 +9,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK, Spark
-from ..session import table
+from ..session import spread, table
 
 Build = Callable[[Spark], str]
 
 
+#: Tables whose texts are worked on row by row: spread over the cores if they come in fewer splits than there are cores.
+SPREAD = {"corpus", "documents"}
+
+
 def run(spark: SparkSession, sf_dir: str, build: Build) -> DataFrame:
     text = build(SPARK)
+    heavy = len(text) > 3000  # many expressions a row
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     for name in set(re.findall(r"@(\w+)", text)):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"{name}_{tag}")
+        df = table(spark, sf_dir, name)
+        (spread(df) if heavy and name in SPREAD else df).createOrReplaceTempView(f"{name}_{tag}")
     return spark.sql(re.sub(r"@(\w+)", rf"\1_{tag}", text))
 
 
