@@ -68,7 +68,7 @@ def date_candidates(d: Spark, text: str, meta: str) -> list[str]:
             "abbrev_dmy": d.date(tidy, "d b Y"), "abbrev_my": d.date(f"'1 ' || {tidy}", "d b Y"), "year_only": None,
         }[name]
         if value is None:
-            first = d.first(found)
+            first = d.first(d.filter(found, f"CAST(x AS INT) BETWEEN {low} AND {high}"))
         else:
             days = d.filter(d.transform(found, value), f"x IS NOT NULL AND {d.year('x')} BETWEEN {low} AND {high}")
             first = d.day(d.first(days))

@@ -11,7 +11,7 @@ from ..sources.scan import identity
 
 def watch(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """ST-1: new files of a folder as they come: file_id, original_path, file_size_bytes, seen_at."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return files.select(identity(F.col("content"), F.col("length")).alias("file_id"), F.col("path").alias("original_path"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("seen_at"))
 
 
