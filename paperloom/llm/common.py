@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import SparkSession
 
 #: Models and small tables above this many pickled bytes are refused as broadcasts; every caller states its own bound.
@@ -19,6 +21,17 @@ def checked_broadcast(spark: SparkSession, value: Any, limit: int = BROADCAST_LI
     return spark.sparkContext.broadcast(value)
 
 
+def skip_empty(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f without its frames of no rows, whose columns have no type."""
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in f(batches):
+            if len(pdf):
+                yield pdf
+
+    return call
+
+
 # Frequent function words of the seven languages of the corpora.
 FUNCTION_WORDS = {
     "en": "the of and to in is was for be that with by has on at are or from this under which been not as its a an have were after will shall",

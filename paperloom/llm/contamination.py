@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, spread, table
-from .common import checked_broadcast
+from .common import checked_broadcast, skip_empty
 
 RUN = 12
 #: Benchmark items of one broadcast slice hold at most so many words.
@@ -88,7 +88,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFra
                 rows = [(d, *s) for d, t in zip(pdf.doc_id, pdf.text) for s in spans_of(t, index)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "end_word"])
 
-        found = documents.select("doc_id", "text").where(F.length("text") >= run * 2 - 1).mapInPandas(scan, schema)
+        found = documents.select("doc_id", "text").where(F.length("text") >= run * 2 - 1).mapInPandas(skip_empty(scan), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -141,7 +141,7 @@ def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 gone.append(len(words_of(text)) - len(words_of(texts[-1])))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "text": texts, "removed_words": gone})
 
-    stripped = hit.mapInPandas(strip, "doc_id bigint, text string, removed_words bigint")
+    stripped = hit.mapInPandas(skip_empty(strip), "doc_id bigint, text string, removed_words bigint")
     kept = docs.join(spans, "doc_id", "left_anti").select("doc_id", "text", F.lit(0).cast("bigint").alias("removed_words"))
     return stripped.unionByName(kept)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, spread, table
-from .common import FUNCTION_WORDS, checked_broadcast
+from .common import FUNCTION_WORDS, checked_broadcast, skip_empty
 from .sentences import sentences
 
 LANGUAGES = ["en", "de", "fr", "es", "it", "nl", "pt"]
@@ -221,7 +221,7 @@ def judged(texts: DataFrame, automata: list[np.ndarray]) -> DataFrame:
                 rows += [(file_id, k, LANGUAGES[lang], n, chars, total / max(n, 1)) for k, (lang, n, chars, total) in enumerate(segment)]
             yield pd.DataFrame(rows, columns=["file_id", "segment_no", "lang_code", "n_sentences", "n_chars", "confidence"])
 
-    return texts.select("file_id", "text").mapInPandas(judge, "file_id string, segment_no int, lang_code string, n_sentences int, n_chars bigint, confidence double")
+    return texts.select("file_id", "text").mapInPandas(skip_empty(judge), "file_id string, segment_no int, lang_code string, n_sentences int, n_chars bigint, confidence double")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, ship, table
-from .common import checked_broadcast
+from .common import checked_broadcast, skip_empty
 
 RADIUS = 2
 #: Names for each pivot, and the most pivots there are (their distances are computed for every key).
@@ -187,7 +187,7 @@ def _token_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parsed(values: DataFrame) -> DataFrame:
     """values(field_name, value, n) with base, detail, initial, middle of each string that names somebody."""
     spark = values.sparkSession
-    roles = values.mapInPandas(_token_roles, "field_name string, token string, role int, n bigint").groupBy("field_name", "token").agg(
+    roles = values.mapInPandas(skip_empty(_token_roles), "field_name string, token string, role int, n bigint").groupBy("field_name", "token").agg(
         F.sum(F.when(F.col("role") == 1, F.col("n")).otherwise(0)).alias("second"), F.sum(F.when(F.col("role") == 0, F.col("n")).otherwise(0)).alias("own")
     )
     known = roles.where(((F.col("field_name") == "author") & (F.col("second") > F.col("own"))) | ((F.col("field_name") != "author") & (F.col("second") >= 3) & (F.col("second") > 2 * F.col("own"))))
@@ -205,7 +205,7 @@ def parsed(values: DataFrame) -> DataFrame:
                     rows.append((field, value, n, *out))
             yield pd.DataFrame(rows, columns=["field_name", "value", "n", "base", "detail", "initial", "middle"])
 
-    return values.mapInPandas(parse, "field_name string, value string, n bigint, base string, detail string, initial string, middle string")
+    return values.mapInPandas(skip_empty(parse), "field_name string, value string, n bigint, base string, detail string, initial string, middle string")
 
 
 def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, ship, spread, table
-from .common import FUNCTION_WORDS
+from .common import FUNCTION_WORDS, skip_empty
 
 CHUNK = 1 << 16
 LOOKAHEAD = 64
@@ -244,9 +244,9 @@ def text_statistics(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.expr(f"CASE WHEN part > 0 THEN substring(text, CAST(part * {chunk} AS INT), 1) END").alias("before"),
         F.expr(f"substring(text, CAST((part + 1) * {chunk} + 1 AS INT), {LOOKAHEAD})").alias("ahead"),
     )
-    states = cutup.mapInPandas(_chunks, _STATE)
+    states = cutup.mapInPandas(skip_empty(_chunks), _STATE)
     totals = "doc_id bigint, n_chars bigint, " + ", ".join(f"t_{c} double" for c in TOTALS)
-    done = states.where(F.col("n_chars") <= chunk).mapInPandas(_final, totals)
+    done = states.where(F.col("n_chars") <= chunk).mapInPandas(skip_empty(_final), totals)
     long = df.where(F.length("text") > chunk)
     longest = long.agg(F.max(F.length("text"))).first()[0]
     if longest:
@@ -255,15 +255,15 @@ def text_statistics(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
         while count > 1:
             rest = rest.groupBy("doc_id", F.floor(F.col("part") / FAN)).applyInPandas(_merge, _STATE)
             count = -(-count // FAN)
-        done = done.unionByName(rest.mapInPandas(_final, totals))
+        done = done.unionByName(rest.mapInPandas(skip_empty(_final), totals))
     words = F.nullif(F.col("t_words"), F.lit(0.0))
     lines = F.nullif(F.col("t_lines"), F.lit(0.0))
-    filled = F.col("t_list_chars") + F.col("t_table_chars") + F.col("t_junk_chars") + F.col("t_prose_chars")
+    filled = F.nullif(F.col("t_list_chars") + F.col("t_table_chars") + F.col("t_junk_chars") + F.col("t_prose_chars"), F.lit(0.0))
     plain = F.when(F.col("t_plain_lines") >= PLAIN_LINES, F.col("t_plain_chars")).otherwise(F.lit(0.0))
     other = F.col("t_list_chars") + F.col("t_table_chars") + F.col("t_junk_chars")
     best = F.greatest("t_list_chars", "t_table_chars", "t_junk_chars")
     kind = (
-        F.when(F.col("n_chars") < MIN_CHARS, None)
+        F.when((F.col("n_chars") < MIN_CHARS) | filled.isNull(), None)
         .when((other <= 0.5 * filled) & (F.col("t_list_chars") + plain > 0.5 * filled), F.lit("list"))
         .when(other <= 0.5 * filled, F.lit("prose"))
         .when(F.col("t_table_chars") == best, F.lit("table"))
