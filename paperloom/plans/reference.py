@@ -213,7 +213,7 @@ def fallback_queue(d):
 def work_order(d):
     """RT-5: fast documents by falling quality, then the others by size; the place within each job, so no single task numbers all."""
     track = f"CASE WHEN text_quality >= {R.QUALITY_LOW} THEN 0 ELSE 1 END"
-    return f"""SELECT job_id, file_id, {track} AS track, row_number() OVER (PARTITION BY job_id ORDER BY {track}, CASE WHEN text_quality >= {R.QUALITY_LOW} THEN -text_quality ELSE file_size END, file_id) AS place
+    return f"""SELECT job_id, file_id, {track} AS track, CAST(row_number() OVER (PARTITION BY job_id ORDER BY {track}, CASE WHEN text_quality >= {R.QUALITY_LOW} THEN -text_quality ELSE file_size END, file_id) AS BIGINT) AS place
 FROM (SELECT DISTINCT job_id, file_id, text_quality, file_size FROM @documents_state WHERE status = 'pending' AND text_quality IS NOT NULL) t"""
 
 
@@ -569,7 +569,7 @@ def plan_summary(d):
 @register
 def rollback_plan(d):
     """OP-5: executed operations undone in reverse, numbered within each job."""
-    return "SELECT job_id, op_id, target_path AS source_path, source_path AS target_path, row_number() OVER (PARTITION BY job_id ORDER BY op_id DESC) AS place FROM (SELECT DISTINCT job_id, op_id, source_path, target_path FROM @operations WHERE executed = 1) t"
+    return "SELECT job_id, op_id, target_path AS source_path, source_path AS target_path, CAST(row_number() OVER (PARTITION BY job_id ORDER BY op_id DESC) AS BIGINT) AS place FROM (SELECT DISTINCT job_id, op_id, source_path, target_path FROM @operations WHERE executed = 1) t"
 
 
 @register
