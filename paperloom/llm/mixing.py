@@ -26,6 +26,8 @@ from .common import checked_broadcast
 TOKENIZERS = os.environ.get("PAPERLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SEED = 20240817
+#: Targets are planned on the driver and their thresholds broadcast: there is one row a source, and no more than this.
+MAX_SOURCES = 10_000
 
 # Fixed value: the pre-tokenisation pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,6 +97,8 @@ def thresholds(rate: float, cap: int) -> list[float]:
 
 def plan_mix(spark: SparkSession, counted: DataFrame, targets: DataFrame, total: float | None = None) -> list[tuple]:
     """(source, target_share, max_repeats, tokens, rate) of each source of targets, which has a row for each source, not more."""
+    if targets.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r.source: r.tokens for r in counted.join(targets.select("source"), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
     rows = [(r.source, float(r.target_share), int(r.max_repeats), int(sizes.get(r.source) or 0)) for r in targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).collect()]
     room = [cap * tokens / share for _, share, cap, tokens in rows if tokens]
