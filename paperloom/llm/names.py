@@ -218,13 +218,13 @@ def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
         rows.append((space, pivots))
     if not rows:
         return keys.sparkSession.createDataFrame([], "space string, a string, b string, distance int")
-    table_of = keys.sparkSession.createDataFrame(rows, "space string, pivots array<string>")
-    far = keys.join(F.broadcast(table_of), "space").withColumn("far", F.expr("transform(pivots, p -> levenshtein(key, p))")).drop("pivots")
+    spark = keys.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: by number, so it is not coalesced
+    table_of = spark.createDataFrame(rows, "space string, pivots array<string>")
+    far = keys.repartition(tasks, "key").join(F.broadcast(table_of), "space").withColumn("far", F.expr("transform(pivots, p -> levenshtein(key, p))")).drop("pivots")
     far = far.withColumn("least", F.array_min("far")).withColumn("home", F.array_position("far", F.col("least")).cast("int") - 1)
     cells = far.withColumn("cell", F.explode(F.expr(f"filter(sequence(0, size(far) - 1), i -> far[i] <= least + {2 * radius})"))).select("space", "key", "home", "cell", F.length("key").alias("size"))
     cells = cut(cells)
-    spark = keys.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: by number, so it is not coalesced
     at_home = cells.where(F.col("home") == F.col("cell")).select("space", "cell", F.col("key").alias("x"), F.col("size").alias("x_size")).repartition(tasks, "space", "cell")
     joined = at_home.join(cells.select("space", "cell", F.col("key").alias("y"), F.col("size").alias("y_size")).repartition(tasks, "space", "cell"), ["space", "cell"])
     near = joined.where((F.col("x") != F.col("y")) & (F.abs(F.col("x_size") - F.col("y_size")) <= radius)).withColumn("distance", F.expr(f"levenshtein(x, y, {radius})"))
