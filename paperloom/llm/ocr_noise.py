@@ -30,14 +30,17 @@ MIN_COUNT, RATIO = 3, 12
 MAX_LEXICON, MAX_PAIRS = 50_000, 200_000
 MIN_LINES = 3
 CONFUSION_COST, EDIT_COST, MAX_COST = 0.2, 1.0, 1.0
+#: A plain edit is taken for a misreading only in words of so many letters, and not in their first letter or last two, where words are inflected.
+MIN_PLAIN, INFLECTED = 5, 2
 MEMO_LIMIT = 300_000
 
 # What recognition reads (left) for what stands on the page (right).
-CONFUSIONS = [("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("vv", "w"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("@", "a"), ("5", "s"), ("8", "b"), ("c", "e"), ("6", "b"), ("9", "g"), ("$", "s"), ("tl", "d"), ("nn", "m")]
+CONFUSIONS = [("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("vv", "w"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("@", "a"), ("5", "s"), ("8", "b"), ("c", "e"), ("6", "b"), ("9", "g"), ("$", "s"), ("tl", "d"), ("nn", "m"), ("m", "rn"), ("q", "g"), ("g", "q"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
 # The strokes that a letter falls into; a word and its misreading fall into the same ones.
-STROKES = str.maketrans({"!": "l", "1": "l", "|": "l", "i": "l", "@": "a", "0": "o", "5": "s", "$": "s", "8": "b", "6": "b", "9": "g", "c": "e", "m": "rn", "w": "vv", "d": "el", "h": "ll", "u": "ll"})
+STROKES = str.maketrans({"!": "l", "1": "l", "|": "l", "i": "l", "@": "a", "0": "o", "5": "s", "$": "s", "8": "b", "6": "b", "9": "g", "c": "e", "m": "rn", "w": "vv", "d": "el", "h": "ll", "u": "ll", "q": "g", "ﬁ": "fl", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffl", "ﬄ": "ffl"})
 
 _TOKEN = re.compile(r"[!@$|]?\w+(?:[-'’!@|$]\w+)*@?")
+_BESIDE = re.compile(r"[\s.,;:?()\[\]\"“”„«»'‘’/…–—]?$")
 _LETTERS = re.compile(r"[^\W\d_]")
 _CODE_TOKEN = re.compile(r"[A-Z]{1,3}-?\d|\d+[.,]?\d*$|[xX]\d+$|\d+[a-zA-Z]{1,3}$")
 _SYMBOL_INSIDE = re.compile(r"[^\W\d_][!@$|0158][^\W\d_]|^[!@][a-zà-ÿ]{3}|[a-zà-ÿ]{3}@$")
@@ -85,6 +88,22 @@ def weighted_distance(read: str, word: str) -> float:
     return cost[n][m]
 
 
+def plain_edit(read: str, word: str) -> bool:
+    """Whether one letter inside a long word is read as another, left out or put in; letters of equal strokes may stand anywhere."""
+    if len(read) == len(word) and fold(read) == fold(word):
+        return True
+    if min(len(read), len(word)) < MIN_PLAIN:
+        return False
+    head = 0
+    while head < min(len(read), len(word)) and read[head] == word[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(read), len(word)) - head and read[-1 - tail] == word[-1 - tail]:
+        tail += 1
+    changed = read[head : len(read) - tail] + word[head : len(word) - tail]  # Latin letters only: other signs are no misreadings but broken encodings and kinds of apostrophes
+    return head >= 1 and tail >= INFLECTED and max(len(read), len(word)) - head - tail == 1 and all(c.isalpha() and c < "ɐ" for c in changed)
+
+
 def eligible(word: str) -> bool:
     return len(word) >= 3 and len(_LETTERS.findall(word)) >= 2 and not _ROMAN.match(word)
 
@@ -101,7 +120,7 @@ class Lexicon:
         return {"counts": self.counts, "pairs": self.pairs, "index": None, "memo": {}}
 
     def candidates(self, word: str) -> list[tuple[float, str]]:
-        """(cost, word of the lexicon), best first, for a lower-case word outside it; costs under MAX_COST."""
+        """(cost, word of the lexicon), best first, for a lower-case word; costs under MAX_COST, or one plain edit of a word RATIO times as frequent."""
         out = self.memo.get(word)
         if out is not None:
             return out
@@ -116,7 +135,8 @@ class Lexicon:
             seen.update(self.index.get(d, ()))
         seen.discard(word)
         scored = [(weighted_distance(word, w), w) for w in seen if abs(len(w) - len(word)) <= 3]
-        out = sorted((c, w) for c, w in scored if c < MAX_COST)
+        enough = RATIO * max(MIN_COUNT, self.counts.get(word, 0))
+        out = sorted((c, w) for c, w in scored if c < MAX_COST or (c <= EDIT_COST and self.counts[w] >= enough and plain_edit(word, w)))
         out.sort(key=lambda x: (x[0], -self.counts[x[1]], x[1]))
         if len(self.memo) >= MEMO_LIMIT:
             self.memo.clear()
@@ -129,16 +149,20 @@ class Lexicon:
         self.counts = {w: n for w, n in self.counts.items() if w not in gone}
         self.index, self.memo = None, {}
 
-    def misread(self, token: str, before: str = "", after: str = "") -> str | None:
-        """What a token stands for, in lower case; the token itself if it is misread beyond recognition; None if it is none."""
+    def misread(self, token: str, before: str = "", after: str = "", whole: bool = True) -> str | None:
+        """What a token stands for, in lower case; the token itself if it is misread beyond recognition; None if it is none.
+
+        No plain edits in what could be a name, and in a piece of a word (not whole)."""
         word = token.lower()
         if word in self.counts or not eligible(word) or _CODE_TOKEN.match(token):
             return None
         if "-" in word and all(p in self.counts or len(p) < 3 for p in word.split("-")):
             return None
         found = self.candidates(word)
+        if not whole or (token[:1].isupper() and not token.isupper()):
+            found = [x for x in found if x[0] < MAX_COST]
         if not found and "-" in word:
-            parts = [self.misread(p) if len(p) > 2 else None for p in token.split("-")]
+            parts = [self.misread(p, whole=whole) if len(p) > 2 else None for p in token.split("-")]
             if any(parts):
                 return "-".join(q or p.lower() for p, q in zip(token.split("-"), parts))
         if found:
@@ -241,6 +265,23 @@ def join_breaks(lines: list[str], lexicon: Lexicon | None) -> tuple[list[str], i
     return out, broken
 
 
+def is_whole(text: str, m: re.Match) -> bool:
+    """Whether a space, a stop, a quote or the text's end stands on both sides: not a piece of a broken word."""
+    return bool(_BESIDE.match(text[max(m.start() - 1, 0) : m.start()]) and _BESIDE.match(text[m.end() : m.end() + 1]))
+
+
+def has_misread(text: str, lexicon: Lexicon) -> bool:
+    seen = set()
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if token.lower() not in lexicon.counts:
+            key = (token, is_whole(text, m))
+            if key not in seen and lexicon.misread(token, whole=key[1]) is not None:
+                return True
+            seen.add(key)
+    return False
+
+
 def clean_words(text: str, lexicon: Lexicon) -> tuple[str, int]:
     """(text with misread words put right, how many were misread)."""
     out, last, count, before = [], 0, 0, ""
@@ -252,7 +293,7 @@ def clean_words(text: str, lexicon: Lexicon) -> tuple[str, int]:
             if lexicon.pairs:
                 nxt = _TOKEN.search(text, m.end())
                 after = nxt.group().lower() if nxt else ""
-            found = lexicon.misread(token, before, after)
+            found = lexicon.misread(token, before, after, is_whole(text, m))
             if found is not None:
                 count += 1
                 right = found.upper() if token.isupper() and len(token) > 1 else found[:1].upper() + found[1:] if token[:1].isupper() or token[:1] in "58" and found[:1].isalpha() and text[m.end() : m.end() + 1] == "" else found
@@ -269,10 +310,7 @@ def noise_kinds(text: str, lexicon: Lexicon) -> list[str]:
     joined, broken = join_breaks(body, lexicon)
     if broken:
         kinds.append("hyphenation")
-    known = lexicon.counts
-    if any(lexicon.misread(t) is not None for t in dict.fromkeys(_TOKEN.findall("\n".join(joined))) if t.lower() not in known):
-        kinds.append("misread")
-    elif any(lexicon.misread(t) is not None for k in headers for t in _TOKEN.findall(lines[k]) if t.lower() not in known):
+    if has_misread("\n".join(joined), lexicon) or any(has_misread(lines[k], lexicon) for k in headers):
         kinds.append("misread")
     if headers:
         kinds.append("running_header")

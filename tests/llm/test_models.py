@@ -119,6 +119,19 @@ def test_scan_noise_round_trip():
     assert "vesscl" not in dirty.counts and "vessel" in dirty.counts
 
 
+def test_misread_letters_ligatures_and_plain_edits():
+    lexicon = O.Lexicon({w: 500 for w in "during concerning confirm office flexible vessel corridor agreed documents modern l'objet unser geprüft".split()})
+    assert [lexicon.misread(w) for w in ("Durinq", "conceming", "conﬁrm", "oﬃce", "ﬂexible", "modem")] == ["during", "concerning", "confirm", "office", "flexible", "modern"]
+    assert lexicon.misread("vexsel") == "vessel" and lexicon.misread("corrldor") == "corridor" and O.has_misread("the vexsel sails", lexicon)
+    assert [lexicon.misread(w) for w in ("Vexsel", "agrees", "document", "agree", "l’objet", "geprⁿft")] == [None] * 6  # names, inflected forms, other signs
+    assert not O.has_misread("ist unver├ñndert und unver-\nSHEET 2", lexicon)  # pieces of words
+    rare = O.Lexicon({w: 20 for w in ("vessel", "during")})
+    assert rare.misread("vexsel") is None and rare.misread("durinq") == "during"
+    dirty = O.Lexicon({"during": 500, "durinq": 9, "vessel": 500, "vexsel": 9, "vessels": 9})
+    dirty.purge()
+    assert set(dirty.counts) == {"during", "vessel", "vessels"}
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
