@@ -4,7 +4,8 @@
    without accents, nicknames and abbreviations expanded) or to a short key (surname and initial, or own name and acronym).
 2. Full keys are joined by edit distance in a metric space: each key goes to the cell of its nearest pivot and, by the triangle
    inequality, also to every cell whose pivot is at most 2 x RADIUS further; inside a cell the radius join is exact.
-3. A key that is one slip away from a more frequent key points to it; pointers are followed to the end.
+3. A key that is one slip away from a more frequent key points to it, else one that is a slip away in each of its two parts
+   (two spellings that each carry one slip); pointers are followed to the end.
 4. Short keys join the entity of their initials if there is only one.
 
 Defined results: null, blank and placeholder values name nobody; strings are compared exactly as stored; an ambiguous initial
@@ -31,6 +32,8 @@ PER_PIVOT, MAX_PIVOTS = 40, 1024
 #: Tokens known as given names or as trades are broadcast; so many at most, the most frequent.
 MAX_TOKENS = 200_000
 MAX_HOPS = 12
+#: Two slips, one in each part of a key, are looked for in parts of so many letters.
+MIN_PART = 4
 
 # Nicknames and the names they stand for.
 NICKNAMES = {
@@ -55,6 +58,7 @@ SHORT_WORDS = {
     "nav": "naval", "arch": "architects", "mar": "marine", "marit": "maritime", "inst": "institute", "svcs": "services", "svc": "services", "serv": "services", "mgmt": "management", "mgt": "management", "shpg": "shipping", "shp": "shipping", "offsh": "offshore", "eng": "engineering", "engg": "engineering",
     "wks": "works", "intl": "international", "int": "international", "drlg": "drilling", "drill": "drilling", "class": "classification", "reg": "register", "auth": "authority", "univ": "university", "dept": "department", "assn": "association", "assoc": "association", "tech": "technology", "res": "research", "lab": "laboratory", "bros": "brothers", "grp": "group", "hldgs": "holdings", "tow": "towage", "salv": "salvage", "dies": "diesel", "prt": "port", "cntr": "center", "natl": "national", "ind": "industries", "mfg": "manufacturing", "sys": "systems", "co": "company",
 }
+_TRADES = frozenset(SHORT_WORDS.values())
 _SMALL = frozenset("the of and for de des du der di da e y et und & m s".split())
 
 
@@ -123,14 +127,21 @@ def _options(initial: str) -> list[str] | None:
     return [NICKNAMES[initial[1:]], *ALSO[initial[1:]]] if initial.startswith("~") else None
 
 
-def organisation_words(value: str) -> list[tuple[str, str]]:
-    """(folded word, as written), legal forms and articles left out."""
+def organisation_words(value: str, trades: frozenset[str] | set[str] = _TRADES) -> list[tuple[str, str]]:
+    """(folded word, as written), legal forms and articles left out; "co" directly after a trade is a company, else a legal form."""
     s = re.sub(r"(?i)^\s*m/s\b\.?", " ", value)
     s = re.sub(r"(?i)\bA/S\b", "AS", s)
     s = re.sub(r"\b((?:\w\.){2,})", lambda m: m.group().replace(".", ""), s)
     out = []
-    for w in re.findall(r"[\w']+(?:&[\w']+)?", s):
+    trade_end = -1  # where the last word ends, if it is a trade
+    for m in re.finditer(r"[\w']+(?:&[\w']+)?", s):
+        w = m.group()
         low = fold(w)
+        after_trade = trade_end >= 0 and "&" not in s[trade_end : m.start()]
+        trade_end = m.end() if SHORT_WORDS.get(low, low) in trades and low not in LEGAL else -1
+        if low == "co" and after_trade:
+            out.append((SHORT_WORDS[low], low))
+            continue
         if (low in LEGAL or low in _SMALL) and not (_acronym(w) and low not in LEGAL and not value.isupper()):
             continue
         out.append((SHORT_WORDS.get(low, low), w))
@@ -144,7 +155,7 @@ def _acronym(written: str) -> bool:
 
 def parse_organisation(value: str, trades: frozenset[str] | set[str]) -> tuple[str, str, str, str] | None:
     """(own name, trade words in order or empty, acronym, empty)."""
-    words = organisation_words(value)
+    words = organisation_words(value, trades)
     if not words or all(w in PLACEHOLDERS for w, _ in words):
         return None
     shorts = [] if value.isupper() else [x for x in words if _acronym(x[1])]
@@ -255,11 +266,13 @@ def linked(values: DataFrame) -> DataFrame:
     weights = cut(weights)
     pairs = radius_pairs(weights.select("space", "key"))
     same = F.array_join(F.array_sort(F.split("a", "")), "") == F.array_join(F.array_sort(F.split("b", "")), "")
-    slips = pairs.where((F.col("distance") == 1) | ((F.col("distance") == 2) & (same)))
-    both = slips.select("space", F.col("a").alias("key"), F.col("b").alias("other")).unionByName(slips.select("space", F.col("b").alias("key"), F.col("a").alias("other")))
+    apart = [F.levenshtein(*[F.split_part(c, F.lit("|"), F.lit(i)) for c in ("a", "b")]) == 1 for i in (1, 2)]
+    long = [F.length(F.split_part(c, F.lit("|"), F.lit(i))) >= MIN_PART for c in ("a", "b") for i in (1, 2)]
+    slips = pairs.withColumn("one", (F.col("distance") == 1) | ((F.col("distance") == 2) & same)).where(F.col("one") | ((F.col("distance") == 2) & apart[0] & apart[1] & long[0] & long[1] & long[2] & long[3]))
+    both = slips.select("space", F.col("a").alias("key"), F.col("b").alias("other"), "one").unionByName(slips.select("space", F.col("b").alias("key"), F.col("a").alias("other"), "one"))
     both = both.join(weights, ["space", "key"]).join(weights.select("space", F.col("key").alias("other"), F.col("n").alias("other_n")), ["space", "other"])
     better = both.where((F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("key"))))
-    target = better.groupBy("space", "key").agg(F.max_by("other", F.struct("other_n", "other")).alias("target"))
+    target = better.groupBy("space", "key").agg(F.max_by("other", F.struct("one", "other_n", "other")).alias("target"))
     pointers = weights.select("space", "key").join(target, ["space", "key"], "left").withColumn("target", F.coalesce("target", "key"))
     roots = _follow(pointers)
     whole = full.join(roots.select(F.col("space").alias("field_name"), "key", "root"), ["field_name", "key"])

@@ -167,6 +167,15 @@ def test_names(spark):
     assert N.linked(spark.createDataFrame([], "field_name string, value string, n bigint")).count() == 0
 
 
+def test_names_with_a_slip_in_each_and_companies(spark):
+    people = ["Henrgk Proniwell", "Henrik Pronibwell", "Bauntiman Elizabeth", "Taunniman Elizabeth", "Lee Ann", "Lea Anne"]
+    firms = ["Bubuford Shpg Co", "Bubuford Shipping Company Ltd", "Bubuford Shpg CO", "Zeston Shipping GmbH & Co KG", "Zeston Shipping"]
+    rows = [("author", p, 1) for p in people] + [("organization", f, 2) for f in firms]
+    entity = {r.value: r.entity for r in N.linked(spark.createDataFrame(rows, "field_name string, value string, n bigint")).collect()}
+    assert entity[people[0]] == entity[people[1]] and entity[people[2]] != entity[people[3]] and entity[people[4]] != entity[people[5]]
+    assert len({entity[f] for f in firms[:3]}) == 1 and entity[firms[3]] == entity[firms[4]] != entity[firms[0]]
+
+
 def test_runs_of_subjects():
     assert S.run_subjects([1, 1, 1, 1]) == {1: 4} and S.run_subjects([1, 1, 1]) == {}
     assert S.run_subjects([1, 1, 2, 1, 1]) == {1: 4} and S.run_subjects([1, 1, -1, 1]) == {1: 4}
