@@ -1,15 +1,18 @@
 """Problem 10: per-document text statistics from chunks, and whether a text is prose, a list, a table or junk.
 
 A text is cut into chunks of CHUNK code points. A chunk counts the words that start in it (it is given one character before
-and LOOKAHEAD characters after, so that words over a boundary are counted once and whole), and sums its lines into three
-parts: the lines wholly inside, the fragment before its first line break and the fragment after its last. Fragments add up,
+and LOOKAHEAD characters after, so that the kind of a word over a boundary is known once) and its own letters, and sums its
+lines into three parts: the lines wholly inside, the fragment before its first line break and the fragment after its last.
+Counts of fragments add up; what depends on order (list mark, gaps, full stop, capital, repetition) merges by their edges,
 so chunks merge associatively; texts of several chunks merge in rounds of FAN chunks, never all at once.
 
-Defined results: null text counts as empty: zero counts, null ratios, kind null; texts under MIN_CHARS have no kind.
+Defined results: null text counts as empty: zero counts, null ratios, kind null; texts under MIN_CHARS have no kind;
+words of over LOOKAHEAD characters are neither function words nor numbers nor like words.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -45,6 +48,10 @@ _NUMERIC = re.compile(r"[-+(]?[\d.,/%]*\d[\d.,/%)]*$|n/a$|-$|[A-Z]{2}-\d+/[A-Z]\
 _HEX = re.compile(r"[0-9A-F]{2}$")
 _COMMON = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 _END = tuple(".!?…:;")
+_CLOSING = "\"'”’)»"
+_LONG_RUN = re.compile(r"([ \t]{2})[ \t]+|(\d{4})\d+")
+#: The longest repeated unit, and so many characters of a line's start (runs cut) as decide about a list mark.
+UNIT, PREFIX = 12, 16
 
 
 _MEMO: dict[str, int] = {}
@@ -53,6 +60,8 @@ MEMO_LIMIT = 200_000
 
 def _word_kind(w: str) -> int:
     """1 a function word, 2 a number, 3 like a word, 0 none of these; kept in a memo of bounded size."""
+    if len(w) > LOOKAHEAD:
+        return 0
     low = w.lower().strip(".,;:!?()\"'“”’…")
     if low in _COMMON:
         kind = 1
@@ -72,6 +81,7 @@ def _features(line: str, ahead: str = "", inside_word: bool = False) -> np.ndarr
     out = np.zeros(N)
     out[0] = len(line)
     words = _WORD.findall(line)
+    letters = sum(map(len, words))
     if words and inside_word and line[0] not in " \t\r\f\v":
         words = words[1:]
     if words and ahead and line[-1] not in " \t\r\f\v":
@@ -91,7 +101,6 @@ def _features(line: str, ahead: str = "", inside_word: bool = False) -> np.ndarr
             numeric += 1
         elif kind == 3:
             wordlike += 1
-    letters = sum(map(len, words))
     out[2:6] = letters, common, wordlike, numeric
     out[6] = len(_GAP.findall(line))
     out[7], out[8], out[9], out[10] = line.count("\t"), line.count("|"), line.count(","), line.count(";")
@@ -127,7 +136,7 @@ def _repeated(line: str) -> bool:
     body = line.strip()
     if len(body) < 20:
         return False
-    for size in range(1, 13):
+    for size in range(1, UNIT + 1):
         unit = body[:size]
         if (unit * (len(body) // size + 1))[: len(body)] == body:
             return True
@@ -154,81 +163,137 @@ def _close(total: np.ndarray, f: np.ndarray, ended: bool, repeated: bool = False
         total[11 if kind == "list" else 12] += 1
 
 
-def chunk_state(text: str, before: str = "", ahead: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, bool, bool, bool]:
-    """(totals of the lines inside, head fragment, tail fragment, has a line break, head ends a sentence, tail ends one).
+def _prefix(s: str) -> str:
+    """As much of a start as decides about a list mark: runs of spaces and of digits are cut to what the mark can tell apart."""
+    return _LONG_RUN.sub(lambda m: m.group(1) or m.group(2), s)[:PREFIX]
+
+
+def _tail(s: str) -> str:
+    """The last character before closing quotes and white space, one of the quotes and one of the white space."""
+    t = s.rstrip()
+    u = t.rstrip(_CLOSING)
+    return u[-1:] + t[len(u) :][:1] + s[len(t) :][:1]
+
+
+def _ends(s: str) -> bool:
+    return s.rstrip().rstrip(_CLOSING).endswith(_END)
+
+
+def _periods(s: str) -> int:
+    """Bit k is set if s repeats every k characters."""
+    return sum(1 << k for k in range(1, UNIT + 1) if s[k:] == s[: max(len(s) - k, 0)])
+
+
+def _edge(s: str) -> tuple:
+    """Of a fragment what does not add up: (prefix, tail, not all upper case, spaces before, spaces after, anything else than spaces,
+    white space before, core's length, start, end and periods, white space after). White space of over UNIT ends every repetition."""
+    body = s.strip()
+    spaces = min(2, len(s) - len(s.lstrip(" "))), min(2, len(s) - len(s.rstrip(" ")))
+    lead = s[: len(s) - len(s.lstrip())][: UNIT + 1]
+    return (_prefix(s[: 1 << 10]) if len(_prefix(s[: 1 << 10])) == PREFIX else _prefix(s), _tail(s), not ("A" + s).isupper(), *spaces, bool(s.strip(" ")),
+            lead, len(body), body[:UNIT], body[-UNIT:], _periods(body), s[len(s.rstrip()) :][: UNIT + 1] if body else "")
+
+
+def _join(a: tuple[np.ndarray, tuple], b: tuple[np.ndarray, tuple]) -> tuple[np.ndarray, tuple]:
+    """The fragment of two that follow each other in a line."""
+    (p, t, low, lead, trail, solid, white, n, start, end, periods, after), (p2, t2, low2, lead2, trail2, solid2, white2, n2, start2, end2, periods2, after2) = a[1], b[1]
+    f = a[0] + b[0]
+    between = min(2, trail + lead2)
+    f[FEATURES.index("gaps")] += solid and solid2 and between == 2
+    spaces = (lead if solid else between), (trail2 if solid2 else between)
+    if n and n2:
+        gap = after + white2
+        periods &= periods2 & _periods(end + gap + start2) if len(gap) < UNIT else 0
+        start, end = (start + gap + start2)[:UNIT] if n < UNIT else start, (end + gap + end2)[-UNIT:] if n2 < UNIT else end2
+        n, after = n + len(gap) + n2, after2
+    elif n:
+        after = (after + white2)[: UNIT + 1]
+    else:
+        white, n, start, end, periods, after = (white + white2)[: UNIT + 1], n2, start2, end2, periods2, after2
+    return f, (_prefix(p + p2), _tail(t + t2), low or low2, *spaces, solid or solid2, white, n, start, end, periods, after)
+
+
+def _close_joined(total: np.ndarray, fragment: tuple[np.ndarray, tuple]) -> None:
+    """Add a line that was put together."""
+    f, edge = fragment[0].copy(), fragment[1]
+    f[11] = float(bool(_MARK.match(edge[0])))
+    f[13] = float(edge[0][:1].isupper() and edge[2])
+    _close(total, f, _ends(edge[1]), edge[7] >= 20 and edge[10] > 0)
+
+
+def chunk_state(text: str, before: str = "", ahead: str = "") -> tuple:
+    """(totals of the lines inside, head fragment, tail fragment, has a line break); a fragment is (features, edge).
 
     Without a line break the whole chunk is the head, and the tail is empty."""
-    total, empty = np.zeros(len(TOTALS)), np.zeros(N)
+    total = np.zeros(len(TOTALS))
     lines = text.split("\n")
     inside = bool(before) and before not in " \t\n\r\f\v"
     follow = ahead.split("\n")[0] if ahead else ""
-
-    def ends(s: str) -> bool:
-        return s.rstrip().rstrip("\"'”’)»").endswith(_END)
-
-    head = _features(lines[0], follow if len(lines) == 1 else "", inside)
-    if before and before != "\n":
-        head[11] = head[13] = 0
-    if _repeated(lines[0]):
-        head[3:5] = 0
-        head[5] = 0
+    head = _features(lines[0], follow if len(lines) == 1 else "", inside), _edge(lines[0])
     if len(lines) == 1:
-        return total, head, empty, False, ends(lines[0]), False
+        return total, head, (np.zeros(N), _edge("")), False
     for line in lines[1:-1]:
-        _close(total, _features(line), ends(line), _repeated(line))
-    tail = _features(lines[-1], follow)
-    if _repeated(lines[-1]):
-        tail[3:6] = 0
-    return total, head, tail, True, ends(lines[0]), ends(lines[-1])
+        _close(total, _features(line), _ends(line), _repeated(line))
+    return total, head, (_features(lines[-1], follow), _edge(lines[-1])), True
 
 
 def merge_states(a: tuple, b: tuple) -> tuple:
     """Associative: the state of two neighbouring runs of chunks."""
     total = a[0] + b[0]
     if not a[3]:
-        return total, a[1] + b[1], b[2], b[3], b[4], b[5]
-    middle = a[2] + b[1]
+        return total, _join(a[1], b[1]), b[2], b[3]
+    middle = _join(a[2], b[1])
     if not b[3]:
-        return total, a[1], middle, True, a[4], b[4]
-    _close(total, middle, b[4])
-    return total, a[1], b[2], True, a[4], b[5]
+        return total, a[1], middle, True
+    _close_joined(total, middle)
+    return total, a[1], b[2], True
 
 
 def finish(state: tuple) -> np.ndarray:
     total = state[0].copy()
-    _close(total, state[1], state[4])
+    _close_joined(total, state[1])
     if state[3]:
-        _close(total, state[2], state[5])
+        _close_joined(total, state[2])
     return total
 
 
-_STATE = "doc_id bigint, n_chars bigint, part bigint, total array<double>, head array<double>, tail array<double>, broken boolean, head_end boolean, tail_end boolean"
+_STATE = "doc_id bigint, n_chars bigint, part bigint, total array<double>, head array<double>, head_edge binary, tail array<double>, tail_edge binary, broken boolean"
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc, n, part, text, before, ahead in zip(pdf.doc_id, pdf.n_chars, pdf.part, pdf.chunk, pdf.before, pdf.ahead):
-            t, h, e, broken, he, te = chunk_state(text or "", before or "", ahead or "")
-            rows.append((doc, n, part, t, h, e, broken, he, te))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
+def _packed(state: tuple) -> tuple:
+    total, head, tail, broken = state
+    return total, head[0], pickle.dumps(head[1]), tail[0], pickle.dumps(tail[1]), broken
+
+
+def _chunks(chunk: int):
+    """States of chunks; a text of one chunk is finished at once and has only totals."""
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, n, part, text, before, ahead in zip(pdf.doc_id, pdf.n_chars, pdf.part, pdf.chunk, pdf.before, pdf.ahead):
+                state = chunk_state(text or "", before or "", ahead or "")
+                rows.append((doc, n, part, finish(state), None, None, None, None, False) if n <= chunk else (doc, n, part, *_packed(state)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
+
+    return states
+
+
+def _unpacked(r) -> tuple:
+    return np.array(r.total), (np.array(r.head), pickle.loads(r.head_edge)), (np.array(r.tail), pickle.loads(r.tail_edge)), bool(r.broken)
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("part")
     state = None
     for r in pdf.itertuples():
-        new = (np.array(r.total), np.array(r.head), np.array(r.tail), bool(r.broken), bool(r.head_end), bool(r.tail_end))
-        state = new if state is None else merge_states(state, new)
-    return pd.DataFrame([(pdf.doc_id.iloc[0], pdf.n_chars.iloc[0], pdf.part.iloc[0] // FAN, *state)], columns=[c.split()[0] for c in _STATE.split(", ")])
+        state = _unpacked(r) if state is None else merge_states(state, _unpacked(r))
+    return pd.DataFrame([(pdf.doc_id.iloc[0], pdf.n_chars.iloc[0], pdf.part.iloc[0] // FAN, *_packed(state))], columns=[c.split()[0] for c in _STATE.split(", ")])
 
 
 def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for r in pdf.itertuples():
-            state = (np.array(r.total), np.array(r.head), np.array(r.tail), bool(r.broken), bool(r.head_end), bool(r.tail_end))
-            rows.append((r.doc_id, r.n_chars, *finish(state)))
+        rows = [(r.doc_id, r.n_chars, *(np.array(r.total) if r.head_edge is None else finish(_unpacked(r)))) for r in pdf.itertuples()]
         yield pd.DataFrame(rows, columns=["doc_id", "n_chars", *(f"t_{c}" for c in TOTALS)])
 
 
@@ -244,7 +309,7 @@ def text_statistics(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.expr(f"CASE WHEN part > 0 THEN substring(text, CAST(part * {chunk} AS INT), 1) END").alias("before"),
         F.expr(f"substring(text, CAST((part + 1) * {chunk} + 1 AS INT), {LOOKAHEAD})").alias("ahead"),
     )
-    states = cutup.mapInPandas(skip_empty(_chunks), _STATE)
+    states = cutup.mapInPandas(skip_empty(_chunks(chunk)), _STATE)
     totals = "doc_id bigint, n_chars bigint, " + ", ".join(f"t_{c} double" for c in TOTALS)
     done = states.where(F.col("n_chars") <= chunk).mapInPandas(skip_empty(_final), totals)
     long = df.where(F.length("text") > chunk)

@@ -37,6 +37,29 @@ def test_chunks_merge_to_the_whole():
             assert np.allclose(Q.finish(states[0])[[0, 1, 2, 4, 5]], whole[[0, 1, 2, 4, 5]]), (text[:20], n)
 
 
+def test_every_total_is_the_same_for_any_chunking():
+    rng = random.Random(8)
+    lines = ["x" * 300, "(iv)    An entry of a list", "[ ] a box", "[  ] no box", "#123456789   an item", "  12.   it ends.  ", 'He said "so."  ', "so. '' ' ", "so.' ", "a   b     c", "   ", "ab ab ab ab ab ab ab ab", "the the the the the the the", "abab" * 9 + "      ab", "asdf" * 12, "A PLAIN LINE", "A plain line", "1 2 3 n/a 5.5", "", "one, two, three; four", "\t- x"]
+    texts = lines + ["\n".join(rng.choice(lines) for _ in range(8)) for _ in range(40)] + ["".join(rng.choice("ab .'-\n\t1") for _ in range(60)) for _ in range(200)]
+    for text in texts:
+        whole = Q.finish(Q.chunk_state(text))
+        by_line = np.zeros(len(Q.TOTALS))
+        for line in text.split("\n"):
+            Q._close(by_line, Q._features(line), line.rstrip().rstrip("\"'”’)»").endswith(tuple(".!?…:;")), Q._repeated(line))
+        assert np.array_equal(whole, by_line), text
+        for n in (1, 2, 3, 7, 40, 90):
+            states = [Q.chunk_state(text[i : i + n], text[i - 1] if i else "", text[i + n : i + n + Q.LOOKAHEAD]) for i in range(0, len(text), n)] or [Q.chunk_state("")]
+            while len(states) > 1:
+                i = rng.randrange(len(states) - 1)
+                states[i : i + 2] = [Q.merge_states(states[i], states[i + 1])]
+            assert np.array_equal(Q.finish(states[0]), whole), (text, n, dict(zip(Q.TOTALS, Q.finish(states[0]) - whole)))
+
+
+def test_one_long_token_counts_whole(spark):
+    row = Q.text_statistics(spark.createDataFrame([(1, "x" * 200_000)], "doc_id bigint, text string")).first()
+    assert row.word_count == 1 and row.mean_word_length == 200_000 and row.text_kind == "junk"
+
+
 def test_huge_text_through_rounds(spark):
     df = spark.createDataFrame([(1, (PROSE + "\n") * 400), (2, LIST)], "doc_id bigint, text string")
     a = {r.doc_id: r for r in Q.text_statistics(df, chunk=500).collect()}
