@@ -344,7 +344,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words.update(tokens)
             pairs.update(zip(tokens, tokens[1:]))
         rows = [(w, "", n) for w, n in words.items() if not w.isdigit()]
-        rows += [(a, b, n) for (a, b), n in pairs.items() if n >= 2 and not a.isdigit() and not b.isdigit()]
+        rows += [(a, b, n) for (a, b), n in pairs.items() if not a.isdigit() and not b.isdigit()]
         yield pd.DataFrame(rows, columns=["word", "after", "n"])
 
 

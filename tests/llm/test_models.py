@@ -132,6 +132,13 @@ def test_misread_letters_ligatures_and_plain_edits():
     assert set(dirty.counts) == {"during", "vessel", "vessels"}
 
 
+def test_pairs_seen_once_a_batch_are_counted(spark):
+    texts = spark.createDataFrame([("open item",)] * 4, "text string").repartition(4)
+    assert O.build_lexicon(texts, pairs=True).pairs == {("open", "item"): 4}
+    one_each = O._counts(iter([O.pd.DataFrame({"text": ["open item"]})] * 3))
+    assert sum(int(x[x.after == "item"].n.sum()) for x in one_each) == 3
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
