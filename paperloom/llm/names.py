@@ -256,8 +256,10 @@ def _follow(pointers: DataFrame) -> DataFrame:
     return current
 
 
-def linked(values: DataFrame) -> DataFrame:
-    """(field_name, value, entity) of every string of values(field_name, value, n) that names somebody."""
+def linked(values: DataFrame, ambiguous: bool = False) -> DataFrame:
+    """(field_name, value, entity) of every string of values(field_name, value, n) that names somebody.
+
+    ambiguous: also short spellings that fit several entities, as entities of their own."""
     ship(values.sparkSession)
     names = cut(parsed(values))
     glue = F.concat_ws("|", "base", "detail")
@@ -286,12 +288,14 @@ def linked(values: DataFrame) -> DataFrame:
     meanings = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k in ALSO for x in ("~" + k, _options("~" + k))])
     named = F.when(F.col("initial").startswith("~"), F.array_contains(F.try_element_at(meanings, F.col("initial")), F.col("detail"))).otherwise(F.col("initial") == F.col("head_initial"))
     tried = short.join(heads, ["field_name", "base"], "left").withColumn("fit", F.coalesce(F.col("root").isNotNull() & named & fits, F.lit(False)))
-    chosen = tried.groupBy("field_name", "value", "base", "initial").agg(
+    chosen = tried.groupBy("field_name", "value", "base", "initial", "middle").agg(
         F.count_if("fit").alias("n_fit"), F.max(F.when(F.col("fit"), F.col("root"))).alias("root"),
         F.count_if(F.col("fit") & (F.col("middle") != "") & (F.size("middles") > 0)).alias("n_sure"), F.max(F.when(F.col("fit") & (F.col("middle") != "") & (F.size("middles") > 0), F.col("root"))).alias("sure"),
     )
     alone = F.concat_ws("|", F.lit("short"), "base", "initial")
     chosen = chosen.withColumn("entity", F.when(F.col("n_fit") == 1, F.col("root")).when(F.col("n_sure") == 1, F.col("sure")).when(F.col("n_fit") == 0, alone))
+    if ambiguous:
+        chosen = chosen.withColumn("entity", F.coalesce("entity", F.concat_ws("|", F.lit("short"), "base", "initial", "middle")))
     sole = names.where((F.col("detail") == "") & (F.col("initial") == "")).select("field_name", "value", F.concat_ws("|", F.lit("sole"), "base").alias("entity"))
     out = whole.select("field_name", "value", F.col("root").alias("entity"))
     return out.unionByName(chosen.where(F.col("entity").isNotNull()).select("field_name", "value", "entity")).unionByName(sole)
@@ -304,14 +308,14 @@ def name_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cut(linked(name_values(spark, sf_dir)))
+    out = cut(linked(name_values(spark, sf_dir), ambiguous=True))
     a, b = out.select("field_name", "entity", F.col("value").alias("value_a")), out.select("field_name", "entity", F.col("value").alias("value_b"))
     return a.join(b, ["field_name", "entity"]).where(F.col("value_a") < F.col("value_b")).select("field_name", "value_a", "value_b").distinct()
 
 
 def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per string with its entity and the entity's number of spellings."""
-    out = linked(name_values(spark, sf_dir))
+    out = linked(name_values(spark, sf_dir), ambiguous=True)
     return out.withColumn("n_spellings", F.count("*").over(Window.partitionBy("field_name", "entity")))
 
 

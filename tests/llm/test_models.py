@@ -183,6 +183,12 @@ def test_names_with_a_slip_in_each_and_companies(spark):
     assert len({entity[f] for f in firms[:3]}) == 1 and entity[firms[3]] == entity[firms[4]] != entity[firms[0]]
 
 
+def test_ambiguous_short_spellings_keep_an_entity(spark):
+    rows = [("author", v, 1) for v in ("Edward Skorebeior", "Elizabeth Skorebeior", "E. Skorebeior", "Skorebeior, E.", "Skorebeior, E. K.")]
+    entity = {r.value: r.entity for r in N.linked(spark.createDataFrame(rows, "field_name string, value string, n bigint"), ambiguous=True).collect()}
+    assert len(entity) == 5 and len(set(entity.values())) == 4 and entity["E. Skorebeior"] == entity["Skorebeior, E."]
+
+
 def test_runs_of_subjects():
     assert S.run_subjects([1, 1, 1, 1]) == {1: 4} and S.run_subjects([1, 1, 1]) == {}
     assert S.run_subjects([1, 1, 2, 1, 1]) == {1: 4} and S.run_subjects([1, 1, -1, 1]) == {1: 4}
