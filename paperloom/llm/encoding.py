@@ -126,14 +126,17 @@ class Model:
         self.letters = [ch for ch, _ in self.one.most_common() if ch.isalpha() and ord(ch) > 127 or ch in "’–…“”°"][:80]
         self.memo: dict[str, tuple[str, str] | None] = {}
 
+    def term(self, context: str, ch: str) -> float:
+        p1 = (self.one.get(ch, 0) + ADD) / (self.total + ADD * 2000)
+        n2 = self.bi_all.get(context[1], 0)
+        p2 = (self.bi.get(context[1] + ch, 0) + 2 * p1) / (n2 + 2)
+        n3 = self.tri_all.get(context, 0)
+        return math.log((self.tri.get(context + ch, 0) + 2 * p2) / (n3 + 2))
+
     def score(self, word: str) -> float:
         out = 0.0
         for context, ch in _grams(word):
-            p1 = (self.one.get(ch, 0) + ADD) / (self.total + ADD * 2000)
-            n2 = self.bi_all.get(context[1], 0)
-            p2 = (self.bi.get(context[1] + ch, 0) + 2 * p1) / (n2 + 2)
-            n3 = self.tri_all.get(context, 0)
-            out += math.log((self.tri.get(context + ch, 0) + 2 * p2) / (n3 + 2))
+            out += self.term(context, ch)
         return out
 
     def best(self, word: str) -> tuple[float, str, str]:
@@ -147,12 +150,20 @@ class Model:
 
     def restore(self, word: str) -> str:
         """Fill U+FFFD with the likeliest letters, if they beat all others by the margin."""
-        options = [""]
+        options = [(0.0, _EDGE * 2, None)]  # score so far, last two characters, (option before, character): a word may be long
         for ch in word:
-            options = [o + c for o in options for c in (self.letters if ch == "�" else [ch])]
+            options = [(o[0] + self.term(o[1], c), o[1][1] + c, (o, c)) for o in options for c in (self.letters if ch == "�" else [ch])]
             if len(options) > 1:
-                options = sorted(options, key=self.score, reverse=True)[:40]
-        ranked = sorted(((self.score(o), o) for o in set(options)), reverse=True)
+                options = sorted(options, key=lambda o: o[0] + self.term(o[1], _EDGE), reverse=True)[:40]
+
+        def spelled(option: tuple) -> str:
+            out = []
+            while option[2]:
+                option, c = option[2]
+                out.append(c)
+            return "".join(reversed(out))
+
+        ranked = sorted(((o[0] + self.term(o[1], _EDGE), spelled(o)) for o in options), reverse=True)
         return ranked[0][1] if len(ranked) == 1 or ranked[0][0] - ranked[1][0] > self.margin / 2 else word
 
     def decide(self, word: str) -> tuple[str, str] | None:
@@ -162,7 +173,7 @@ class Model:
         if len(self.memo) >= MEMO_LIMIT:
             self.memo.clear()
         if "�" in word:
-            out = ("lost characters", self.restore(word) if word.count("�") <= 4 and len(word) <= 60 else word)
+            out = ("lost characters", self.restore(word))
         else:
             gain, chain, fixed = self.best(word)
             out = (chain, fixed) if gain > self.margin else None

@@ -39,6 +39,16 @@ def test_encoding_round_trips(spark):
     assert E.garbled(df.limit(0)).count() == 0
 
 
+def test_lost_characters_of_long_words_are_restored():
+    grams = {}
+    for word in ("geprüft", "ä"):
+        for context, ch in E._grams(word):
+            grams[context + ch] = 500
+    model = E.Model(grams)
+    for word in ("geprüft", "geprüft" * 5, "geprüft" * 2000):
+        assert model.decide(word.replace("ü", "�")) == ("lost characters", word)
+
+
 def test_truncation_held_out(spark):
     rng = random.Random(3)
     endings = ["no open item remains", "the remaining remarks are minor", "it was found in order", "the plan was approved by the board", "within ten days of receipt"]
