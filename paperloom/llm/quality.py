@@ -4,7 +4,8 @@ A text is cut into chunks of CHUNK code points. A chunk counts the words that st
 and LOOKAHEAD characters after, so that the kind of a word over a boundary is known once) and its own letters, and sums its
 lines into three parts: the lines wholly inside, the fragment before its first line break and the fragment after its last.
 Counts of fragments add up; what depends on order (list mark, gaps, full stop, capital, repetition) merges by their edges,
-so chunks merge associatively; texts of several chunks merge in rounds of FAN chunks, never all at once.
+so chunks merge associatively: level by level inside a task, and for texts of over PIECE code points, whose pieces go to
+different tasks, in rounds of FAN pieces, never all at once.
 
 Defined results: null text counts as empty: zero counts, null ratios, kind null; texts under MIN_CHARS have no kind;
 words of over LOOKAHEAD characters are neither function words nor numbers nor like words.
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, ship, spread, table
+from ..session import ship, spread, table
 from .common import FUNCTION_WORDS, skip_empty
 
-CHUNK = 1 << 16
+CHUNK = 1 << 12
+#: Texts of over PIECE code points are spread over tasks; no string has over LONGEST.
+PIECE, LONGEST = 1 << 18, 1 << 31
 LOOKAHEAD = 64
 FAN = 64
 MIN_CHARS = 60
@@ -44,7 +47,7 @@ _GAP = re.compile(r"[^ \n] {2,}(?=[^ \n])")
 _WORDLIKE = re.compile(r"[^\W\d_]{2,}")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûãõåæøœ]", re.I)
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–’“”…°%/&]|_")
-_NUMERIC = re.compile(r"[-+(]?[\d.,/%]*\d[\d.,/%)]*$|n/a$|-$|[A-Z]{2}-\d+/[A-Z]\d+$")
+_NUMERIC = re.compile(r"[-+(]?[\d.,/%]*\d[\d.,/%)]*$|n/a$|-$|[A-Z]{1,5}[-/.]?\d[\dA-Z/.-]*$")
 _HEX = re.compile(r"[0-9A-F]{2}$")
 _COMMON = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 _END = tuple(".!?…:;")
@@ -257,7 +260,24 @@ def finish(state: tuple) -> np.ndarray:
     return total
 
 
+def state_of(text: str, before: str = "", ahead: str = "", chunk: int = CHUNK) -> tuple:
+    """The state of a text, or of a piece of one, from its chunks by merging neighbours level by level."""
+    states = []
+    for i in range(0, max(len(text), 1), chunk):
+        follow = text[i + chunk : i + chunk + LOOKAHEAD]
+        if len(follow) < LOOKAHEAD:
+            follow += ahead[: LOOKAHEAD - len(follow)]
+        states.append(chunk_state(text[i : i + chunk], text[i - 1] if i else before, follow))
+    while len(states) > 1:
+        merged = [merge_states(a, b) for a, b in zip(states[::2], states[1::2])]
+        states = merged + states[len(merged) * 2 :]
+    return states[0]
+
+
 _STATE = "doc_id bigint, n_chars bigint, part bigint, total array<double>, head array<double>, head_edge binary, tail array<double>, tail_edge binary, broken boolean"
+_STATE_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
+_TOTALS = "doc_id bigint, n_chars bigint, " + ", ".join(f"t_{c} double" for c in TOTALS)
+_TOTAL_COLUMNS = ["doc_id", "n_chars", *(f"t_{c}" for c in TOTALS)]
 
 
 def _packed(state: tuple) -> tuple:
@@ -265,22 +285,45 @@ def _packed(state: tuple) -> tuple:
     return total, head[0], pickle.dumps(head[1]), tail[0], pickle.dumps(tail[1]), broken
 
 
-def _chunks(chunk: int):
-    """States of chunks; a text of one chunk is finished at once and has only totals."""
+def _unpacked(r) -> tuple:
+    return np.array(r.total), (np.array(r.head), pickle.loads(r.head_edge)), (np.array(r.tail), pickle.loads(r.tail_edge)), bool(r.broken)
+
 
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(chunk: int):
+    """Totals of texts that one task works on from end to end."""
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, n, part, text, before, ahead in zip(pdf.doc_id, pdf.n_chars, pdf.part, pdf.chunk, pdf.before, pdf.ahead):
-                state = chunk_state(text or "", before or "", ahead or "")
-                rows.append((doc, n, part, finish(state), None, None, None, None, False) if n <= chunk else (doc, n, part, *_packed(state)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
+            out = np.zeros((len(pdf), len(TOTALS)))
+            for k, text in enumerate(pdf.text):
+                out[k] = finish(state_of(text, chunk=chunk) if len(text) > chunk else chunk_state(text))
+            frame = pd.DataFrame(out, columns=_TOTAL_COLUMNS[2:])
+            frame.insert(0, "doc_id", pdf.doc_id.to_numpy())
+            frame.insert(1, "n_chars", [len(t) for t in pdf.text])
+            yield frame
 
-    return states
+    return totals
 
 
-def _unpacked(r) -> tuple:
-    return np.array(r.total), (np.array(r.head), pickle.loads(r.head_edge)), (np.array(r.tail), pickle.loads(r.tail_edge)), bool(r.broken)
+def _pieces(size: int):
+    """Pieces of huge texts, cut in one pass, each with the character before and the LOOKAHEAD characters after it."""
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, text in zip(pdf.doc_id, pdf.text):
+                for part, i in enumerate(range(0, len(text), size)):
+                    yield pd.DataFrame([(doc, len(text), part, text[i : i + size], text[i - 1 : i] if i else "", text[i + size : i + size + LOOKAHEAD])], columns=["doc_id", "n_chars", "part", "piece", "before", "ahead"])
+
+    return pieces
+
+
+def _states(chunk: int):
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(r.doc_id, r.n_chars, r.part, *_packed(state_of(r.piece, r.before, r.ahead, chunk))) for r in pdf.itertuples()]
+            yield pd.DataFrame(rows, columns=_STATE_COLUMNS)
+
+    return states
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -288,39 +331,30 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     state = None
     for r in pdf.itertuples():
         state = _unpacked(r) if state is None else merge_states(state, _unpacked(r))
-    return pd.DataFrame([(pdf.doc_id.iloc[0], pdf.n_chars.iloc[0], pdf.part.iloc[0] // FAN, *_packed(state))], columns=[c.split()[0] for c in _STATE.split(", ")])
+    return pd.DataFrame([(pdf.doc_id.iloc[0], pdf.n_chars.iloc[0], pdf.part.iloc[0] // FAN, *_packed(state))], columns=_STATE_COLUMNS)
 
 
 def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(r.doc_id, r.n_chars, *(np.array(r.total) if r.head_edge is None else finish(_unpacked(r)))) for r in pdf.itertuples()]
-        yield pd.DataFrame(rows, columns=["doc_id", "n_chars", *(f"t_{c}" for c in TOTALS)])
+        rows = [(r.doc_id, r.n_chars, *finish(_unpacked(r))) for r in pdf.itertuples()]
+        yield pd.DataFrame(rows, columns=_TOTAL_COLUMNS)
 
 
-def text_statistics(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per doc_id of df(doc_id bigint unique, text string) with counts, ratios and text_kind."""
+def text_statistics(df: DataFrame, chunk: int = CHUNK, piece: int = PIECE) -> DataFrame:
+    """One row per doc_id of df(doc_id bigint unique, text string) with counts, ratios and text_kind.
+
+    Texts of up to piece code points are chunked and merged inside one task, without a shuffle. Longer ones are cut into
+    pieces that go to different tasks; their states merge in as many rounds of FAN as the longest possible string needs."""
     ship(df.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    one = df.select("doc_id", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
-    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_chars") / chunk) - 1, F.lit(0)).cast("int"))
-    cutup = one.select("doc_id", "n_chars", "text", F.explode(parts).alias("part")).withColumn("part", F.col("part").cast("bigint")).select(
-        "doc_id", "n_chars", "part",
-        F.expr(f"substring(text, CAST(part * {chunk} + 1 AS INT), {chunk})").alias("chunk"),
-        F.expr(f"CASE WHEN part > 0 THEN substring(text, CAST(part * {chunk} AS INT), 1) END").alias("before"),
-        F.expr(f"substring(text, CAST((part + 1) * {chunk} + 1 AS INT), {LOOKAHEAD})").alias("ahead"),
-    )
-    states = cutup.mapInPandas(skip_empty(_chunks(chunk)), _STATE)
-    totals = "doc_id bigint, n_chars bigint, " + ", ".join(f"t_{c} double" for c in TOTALS)
-    done = states.where(F.col("n_chars") <= chunk).mapInPandas(skip_empty(_final), totals)
-    long = df.where(F.length("text") > chunk)
-    longest = long.agg(F.max(F.length("text"))).first()[0]
-    if longest:
-        rest = cut(states.where(F.col("n_chars") > chunk))
-        count = -(-longest // chunk)
-        while count > 1:
-            rest = rest.groupBy("doc_id", F.floor(F.col("part") / FAN)).applyInPandas(_merge, _STATE)
-            count = -(-count // FAN)
-        done = done.unionByName(rest.mapInPandas(skip_empty(_final), totals))
+    one = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    done = one.where(F.length("text") <= piece).mapInPandas(skip_empty(_whole(chunk)), _TOTALS)
+    cutup = one.where(F.length("text") > piece).mapInPandas(_pieces(piece), "doc_id bigint, n_chars bigint, part bigint, piece string, before string, ahead string")
+    rest = cutup.repartition("doc_id", "part").mapInPandas(skip_empty(_states(chunk)), _STATE)
+    reach = piece
+    while reach < LONGEST:
+        rest = rest.groupBy("doc_id", F.floor(F.col("part") / FAN)).applyInPandas(_merge, _STATE)
+        reach *= FAN
+    done = done.unionByName(rest.mapInPandas(skip_empty(_final), _TOTALS))
     words = F.nullif(F.col("t_words"), F.lit(0.0))
     lines = F.nullif(F.col("t_lines"), F.lit(0.0))
     filled = F.nullif(F.col("t_list_chars") + F.col("t_table_chars") + F.col("t_junk_chars") + F.col("t_prose_chars"), F.lit(0.0))
