@@ -95,6 +95,12 @@ def test_leaks_against_brute_force(spark):
     frame = spark.createDataFrame([*docs, docs[5]], "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     got = {(r.doc_id, r.item_id) for r in C.leaks(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == brute(docs, items, C.RUN) and got
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    joined = C.leaks(frame, bench, most=0)  # as for a benchmark too large to broadcast
+    assert {tuple(r) for r in joined.distinct().collect()} == {tuple(r) for r in C.leaks(frame, bench).distinct().collect()}
+    a, b = ({(r.doc_id, r.text, r.removed_words) for r in C.cleaned(frame, bench, most=n).collect()} for n in (0, C.INDEX_WORDS))
+    assert a == b and sum(r[2] > 0 for r in a) == len({d for d, _ in got})
+    assert C.leaks(frame.limit(0), bench, most=0).count() == 0
     none = C.leaks(frame, spark.createDataFrame([], "item_id bigint, text string"))
     assert none.count() == 0 and C.leaks(frame.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
@@ -126,3 +132,13 @@ def test_mixture(spark):
     assert [r.place for r in out.select("place").collect()] == sorted(r.place for r in out.select("place").collect())
     assert out.count() == M.mixed(spark, docs.repartition(7), targets).count()  # the seed, not the layout, decides
     assert M.mixed(spark, docs.limit(0), targets).count() == 0
+
+
+def test_pieces_go_through_rounds_of_merging(spark):
+    rows = [(1, (PROSE + "\n") * 300), (2, LIST), (3, (TABLE + "\n") * 200), (4, "word " * 30_000), (5, None), (6, (LIST + "\n") * 200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r for r in Q.text_statistics(df, chunk=1 << 20).collect()}
+    for chunk, piece in ((997, 5000), (64, 1 << 20), (4096, 4096)):
+        got = {r.doc_id: r for r in Q.text_statistics(df, chunk=chunk, piece=piece).collect()}
+        assert got == want, (chunk, piece)
+    assert want[1].text_kind == "prose" and want[3].text_kind == "table" and want[6].text_kind == "list"
