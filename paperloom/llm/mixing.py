@@ -14,13 +14,12 @@ from __future__ import annotations
 import base64
 import math
 import os
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, spread, table
+from ..session import cut, ship, spread, table
 from .common import checked_broadcast
 
 TOKENIZERS = os.environ.get("PAPERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -28,6 +27,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SEED = 20240817
 #: Targets are planned on the driver and their thresholds broadcast: there is one row a source, and no more than this.
 MAX_SOURCES = 10_000
+#: All thresholds together, one for each allowed repetition of each source.
+MAX_STEPS = 1_000_000
 
 # Fixed value: the pre-tokenisation pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,12 +96,14 @@ def thresholds(rate: float, cap: int) -> list[float]:
     return out
 
 
-def plan_mix(spark: SparkSession, counted: DataFrame, targets: DataFrame, total: float | None = None) -> list[tuple]:
-    """(source, target_share, max_repeats, tokens, rate) of each source of targets, which has a row for each source, not more."""
+def plan_mix(spark: SparkSession, sizes: DataFrame, targets: DataFrame, total: float | None = None) -> list[tuple]:
+    """(source, target_share, max_repeats, tokens, rate) of each source of targets, which has a row for each source, not more.
+
+    sizes: as from source_tokens()."""
     if targets.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r.source: r.tokens for r in counted.join(targets.select("source"), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
-    rows = [(r.source, float(r.target_share), int(r.max_repeats), int(sizes.get(r.source) or 0)) for r in targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).collect()]
+    have = {r.source: r.tokens for r in sizes.join(targets.select("source"), "source", "left_semi").select("source", "tokens").collect()}
+    rows = [(r.source, float(r.target_share), int(r.max_repeats), int(have.get(r.source) or 0)) for r in targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).collect()]
     room = [cap * tokens / share for _, share, cap, tokens in rows if tokens]
     if not room:
         return []
@@ -113,26 +116,36 @@ def _uniform(seed: int, *columns: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")) / F.lit(float(1 << 53))
 
 
-def with_copies(counted: DataFrame, plan: list[tuple], seed: int = SEED) -> DataFrame:
-    """Add copies (int) to documents with doc_id, source and n_tokens; documents of other sources are dropped."""
-    spark = counted.sparkSession
+def with_copies(docs: DataFrame, plan: list[tuple], seed: int = SEED) -> DataFrame:
+    """Add copies (int) to documents with doc_id, source and text; documents without text or of other sources are dropped.
+
+    Copies follow from doc_id and source alone, so they are computed beside the scan, without a shuffle."""
+    spark = docs.sparkSession
     if not plan:
-        return counted.where(F.lit(False)).withColumn("copies", F.lit(0))
+        return docs.where(F.lit(False)).withColumn("copies", F.lit(0))
+    if sum(cap for _, _, cap, _, _ in plan) > MAX_STEPS:
+        raise ValueError(f"over {MAX_STEPS} thresholds to broadcast")
     steps = spark.createDataFrame([(s, thresholds(rate, cap)) for s, _, cap, _, rate in plan], "source string, steps array<double>")
-    joined = counted.where(F.col("n_tokens") > 0).join(F.broadcast(steps), "source")
+    joined = docs.where(F.length("text") > 0).join(F.broadcast(steps), "source")
     return joined.withColumn("u", _uniform(seed, F.col("doc_id"))).withColumn("copies", F.expr("size(filter(steps, x -> u >= x))")).drop("u", "steps")
 
 
+def source_tokens(docs: DataFrame) -> DataFrame:
+    """source, n_documents, tokens: one scan, summed before the shuffle."""
+    return with_tokens(docs.select("source", "text")).groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("tokens"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> DataFrame:
-    """The mixture: each copy a row, in an order hashed over the whole (a range exchange on the hash: the global shuffle)."""
-    from ..session import cut
+    """The mixture: each copy a row, in an order hashed over the whole. n_tokens is computed only where it is selected.
 
-    counts = cut(with_tokens(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens"))
-    plan = plan_mix(spark, counts, targets, total)
-    copies = with_copies(counts, plan, seed).where(F.col("copies") > 0).select("doc_id", "n_tokens", "copies")
-    rows = docs.select("doc_id", "source", "text").join(copies, "doc_id")
+    Places are uniform over all 64-bit numbers, so their high bits give the partition: one shuffle, no sampling of ranges."""
+    plan = plan_mix(spark, cut(source_tokens(docs)), targets, total)
+    rows = with_tokens(with_copies(docs.select("doc_id", "source", "text"), plan, seed).where(F.col("copies") > 0))
     rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
-    return rows.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no")).orderBy("place", "doc_id", "copy_no")
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.floor((F.shiftright("place", 11) + F.lit(1 << 52)) * F.lit(tasks / float(1 << 53))).cast("int"), F.lit(tasks - 1))
+    return rows.repartitionById(tasks, part).sortWithinPartitions("place", "doc_id", "copy_no")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -140,18 +153,16 @@ def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, *_sources(spark, sf_dir))
+    return mixed(spark, *_sources(spark, sf_dir)).select("doc_id", "source", "text", "copy_no", "place")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of every source."""
-    from ..session import cut
-
+    """Target and actual share of every source, from the copies that p9_mixture makes."""
     docs, targets = _sources(spark, sf_dir)
-    counts = cut(with_tokens(docs).select("doc_id", "source", "n_tokens"))
-    copies = with_copies(counts, plan_mix(spark, counts, targets)).select("source", "doc_id", "n_tokens", "copies")
+    counted = cut(with_tokens(docs).withColumn("text", F.when(F.length("text") > 0, F.lit("x"))))  # sizes alone: the texts stay where they are
+    have = counted.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("tokens"))
+    copies = with_copies(counted, plan_mix(spark, have, targets))
     made = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_repeats"))
-    have = counts.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("tokens"))
     rows = have.join(targets, have.source.eqNullSafe(targets.source), "full").select(
         F.coalesce(have.source, targets.source).alias("source"), "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("tokens", F.lit(0)).alias("tokens")
     )
