@@ -108,6 +108,23 @@ def test_languages(spark):
     assert L.judged(texts.limit(0), L.train(texts, labels)).count() == 0
 
 
+def test_stretches():
+    sure = [True, True, True]
+    assert L.stretches([0, 0, 2], sure, [False] * 3) == [(0, [0, 1], [0, 1]), (2, [2], [2])]
+    assert L.stretches([0, 2, 2], [True, False, True], [False] * 3) == [(0, [0], [0]), (2, [1, 2], [1, 2])]  # weak, but of the language that follows
+    assert L.stretches([0, 3, 2], [True, False, True], [False] * 3) == [(0, [0, 1], [0]), (2, [2], [2])]
+    assert L.stretches([3, 0, 0], [False, True, False], [False, False, True]) == [(0, [0, 1, 2], [1])]
+
+
+def test_a_text_of_weak_sentences_has_a_language(spark, monkeypatch):
+    monkeypatch.setattr(L, "MIN_CONFIDENCE", 2.0)  # nothing is sure
+    texts = spark.createDataFrame([("a", "The vessel was examined on board and no open item remains. The hull is in good order."), ("n", "12 34 56 78 90 12 34.")], "file_id string, text string")
+    code = lambda s: L.build_automaton(L.codes_of(s))
+    models = [code("the vessel was examined on board and the hull is in order"), code("das schiff wurde an bord geprüft"), *[code("x")] * 5]
+    frames = L.judged(texts, models).collect()
+    assert [(r.file_id, r.lang_code) for r in frames] == [("a", "en")] and 0 < frames[0].confidence < 1
+
+
 def test_sentences():
     assert sentences(None) == [] and sentences("A heading without an end") == []
     assert sentences("A Heading Here\nThe first sentence is wrapped over two lines of the\ntext and ends here. The second one follows.") == ["The first sentence is wrapped over two lines of the text and ends here.", "The second one follows."]
@@ -169,6 +186,9 @@ def test_radius_join_against_brute_force(spark):
     got = {(r.a, r.b): r.distance for r in N.radius_pairs(df).collect()}
     want = {(a, b): d for i, a in enumerate(keys) for b in keys[i + 1 :] if (d := levenshtein(a, b)) <= N.RADIUS}
     assert got == want
+    assert {(r.a, r.b): r.distance for r in N.radius_pairs(df, cell=20).collect()} == want  # cells divided level by level
+    two = df.unionByName(df.withColumn("space", F.lit("t")))
+    assert N.radius_pairs(two, cell=40).count() == 2 * len(want)
     assert N.radius_pairs(df.limit(0)).count() == 0
 
 
@@ -199,6 +219,13 @@ def test_ambiguous_short_spellings_keep_an_entity(spark):
     assert len(entity) == 5 and len(set(entity.values())) == 4 and entity["E. Skorebeior"] == entity["Skorebeior, E."]
 
 
+def test_a_slip_in_a_short_spelling(spark):
+    people = ["Henrik Proniwell", "H. Proniwell", "Pronywell H", "Tobias Ackertoon", "Ackertone, Z.", "Z Ackertome", "Ackertome Z."]
+    entity = {r.value: r.entity for r in N.linked(spark.createDataFrame([("author", p, 1) for p in people], "field_name string, value string, n bigint"), ambiguous=True).collect()}
+    assert entity["Henrik Proniwell"] == entity["H. Proniwell"] == entity["Pronywell H"]
+    assert len({entity[p] for p in people[4:]}) == 1 and entity["Z Ackertome"] != entity["Tobias Ackertoon"]
+
+
 def test_runs_of_subjects():
     assert S.run_subjects([1, 1, 1, 1]) == {1: 4} and S.run_subjects([1, 1, 1]) == {}
     assert S.run_subjects([1, 1, 2, 1, 1]) == {1: 4} and S.run_subjects([1, 1, -1, 1]) == {1: 4}
