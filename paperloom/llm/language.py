@@ -4,8 +4,9 @@ For each language a suffix automaton of labelled text is built. A sentence is pa
 language's text; the language that needs the fewest pieces for each character wins, and the confidence is the share by which
 the next language needs more. All sentences of a batch walk all automata together, one character a step.
 
-Defined results: null, blank and sentence-less texts have no language; sentences without MIN_LETTERS letters or
-under MIN_CONFIDENCE follow their neighbours; labels are read in the written forms of LABELS, anything else names another language; ties go to the first language
+Defined results: null, blank and sentence-less texts have no language; sentences without MIN_LETTERS letters
+have no language of their own, those under MIN_CONFIDENCE follow their neighbours; a text without any surer sentence has the
+language that it needs fewest pieces of, with its low confidence; labels are read in the written forms of LABELS, anything else names another language; ties go to the first language
 of LANGUAGES; repeated rows give one row.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, spread, table
@@ -34,7 +35,7 @@ NO_LABEL = ("", "unknown", "und", "unk", "none", "null", "n/a", "na", "?", "-",
 #: The automata are built from at most so many labelled documents and characters of each language.
 TRAIN_DOCUMENTS, TRAIN_CHARS = 300, 15_000
 MIN_LETTERS = 15
-#: Sentences under this confidence (names, codes) say nothing: they follow their neighbours and are not counted.
+#: Sentences under this confidence follow their neighbours; they count where their own best language is that of the stretch.
 MIN_CONFIDENCE = 0.25
 RUN = 2
 
@@ -149,26 +150,58 @@ def label_code(label: Column) -> Column:
 
 
 def train(texts: DataFrame, labels: DataFrame) -> list[np.ndarray]:
-    """Automata in the order of LANGUAGES from texts(file_id, text) and labels(file_id, code); a language without text gets an empty one."""
+    """Automata in the order of LANGUAGES from texts(file_id, text) and labels(file_id, code); a language without text gets an empty one.
+
+    Executors cut the sampled documents to vetted sentences; the driver gets about TRAIN_CHARS characters a language."""
     ranked = labels.where(F.col("code").isin(*LANGUAGES)).select("code", "file_id", F.xxhash64(F.lit(3), "file_id").alias("h"))
     parts = None
     for code in LANGUAGES:
         top = ranked.where(F.col("code") == code).orderBy("h", "file_id").limit(TRAIN_DOCUMENTS)
         parts = top if parts is None else parts.unionByName(top)
-    rows = texts.join(F.broadcast(parts.select("file_id", "code", "h")), "file_id").orderBy("h", "file_id").collect()
-    out = []
-    for code in LANGUAGES:
-        kept: dict[bytes, None] = {}
-        size = 0
-        for r in rows:
-            if r.code != code or not r.text:
-                continue
-            for s in sentences(r.text[: 1 << 20]):
-                c = codes_of(s)
-                if size < TRAIN_CHARS and c not in kept and vote(s) == code:
-                    kept[c] = None
-                    size += len(c)
-        out.append(build_automaton(bytes([_CODE[" "]]).join(kept)))
+    sampled = texts.join(F.broadcast(parts.select("file_id", "code", "h").distinct()), "file_id")  # at most TRAIN_DOCUMENTS ids a language
+
+    def vetted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file_id, code, h, text in zip(pdf.file_id, pdf.code, pdf.h, pdf.text):
+                size = 0
+                for k, s in enumerate(sentences(text)):
+                    if size < TRAIN_CHARS and vote(s) == code:
+                        rows.append((code, h, file_id, k, codes_of(s)))
+                        size += len(rows[-1][-1])
+            yield pd.DataFrame(rows, columns=["code", "h", "file_id", "place", "line"])
+
+    lines = sampled.mapInPandas(skip_empty(vetted), "code string, h bigint, file_id string, place int, line binary")
+    lines = lines.groupBy("code", "line").agg(F.min(F.struct("h", "file_id", "place")).alias("first"))
+    before = Window.partitionBy("code").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    kept = lines.withColumn("size", F.coalesce(F.sum(F.octet_length("line")).over(before), F.lit(0))).where(F.col("size") < TRAIN_CHARS)
+    text_of: dict[str, list[bytes]] = {code: [] for code in LANGUAGES}
+    for r in kept.orderBy("first").select("code", "line").collect():
+        text_of[r.code].append(bytes(r.line))
+    return [build_automaton(bytes([_CODE[" "]]).join(text_of[code])) for code in LANGUAGES]
+
+
+def stretches(best: list[int], sure: list[bool], mute: list[bool]) -> list[tuple[int, list[int], list[int]]]:
+    """(language, its sentences, those of them that count) of one text in order; best: the language of each sentence.
+
+    A sentence that is not sure goes with the stretch before it, or with the one after if only that is its own language; it
+    counts where its own language is that of the stretch. A mute sentence has no language of its own. The caller settles
+    texts without any sure sentence."""
+    known = [k for k, x in enumerate(sure) if x]
+    out: list[tuple[int, list[int], list[int]]] = []
+    last = best[known[0]]
+    ahead = 0
+    for k, own in enumerate(best):
+        while ahead < len(known) and known[ahead] < k:
+            ahead += 1
+        following = best[known[ahead]] if ahead < len(known) else last
+        lang = own if sure[k] else following if own != last and own == following and not mute[k] else last
+        if not out or out[-1][0] != lang:
+            out.append((lang, [], []))
+        out[-1][1].append(k)
+        if sure[k] or (own == lang and not mute[k]):
+            out[-1][2].append(k)
+        last = lang
     return out
 
 
@@ -199,26 +232,21 @@ def judged(texts: DataFrame, automata: list[np.ndarray]) -> DataFrame:
             best = rates.argmin(axis=1) if len(unique) else np.zeros(0, dtype=int)
             two = np.partition(rates, 1, axis=1)[:, :2] if len(unique) else np.zeros((0, 2))
             sure = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
-            weak = [len(c) - c.count(_CODE[" "]) < MIN_LETTERS or sure[i] < MIN_CONFIDENCE for i, c in enumerate(unique)]
+            mute = [len(c) - c.count(_CODE[" "]) < MIN_LETTERS for c in unique]
             rows = []
             for file_id, own in docs:
-                langs = [None if weak[i] else int(best[i]) for i in own]
-                known = [x for x in langs if x is not None]
-                if not known:
+                langs, certain, silent = [int(best[i]) for i in own], [not mute[i] and sure[i] >= MIN_CONFIDENCE for i in own], [mute[i] for i in own]
+                if any(certain):
+                    parts = stretches(langs, certain, silent)
+                    of = [sum(float(sure[own[k]]) for k in counted) / max(len(counted), 1) for _, _, counted in parts]
+                elif not all(silent):  # nothing is sure: the language that the whole text needs fewest pieces of
+                    total = sum(counts[i] for i in own if not mute[i])
+                    lang, two_best = int(np.argmin(total)), np.sort(total)[:2]
+                    parts = [(lang, list(range(len(own))), [k for k in range(len(own)) if langs[k] == lang and not silent[k]])]
+                    of = [float(1 - two_best[0] / max(two_best[1], 1e-9))]
+                else:
                     continue
-                last = known[0]
-                segment: list = []
-                for i, lang in zip(own, langs):
-                    counted = lang is not None
-                    lang = lang if counted else last
-                    if not segment or segment[-1][0] != lang:
-                        segment.append([lang, 0, 0, 0.0])
-                    segment[-1][2] += int(size[i])
-                    if counted:
-                        segment[-1][1] += 1
-                        segment[-1][3] += float(sure[i])
-                    last = lang
-                rows += [(file_id, k, LANGUAGES[lang], n, chars, total / max(n, 1)) for k, (lang, n, chars, total) in enumerate(segment)]
+                rows += [(file_id, k, LANGUAGES[lang], len(counted), sum(int(size[own[j]]) for j in places), c) for k, ((lang, places, counted), c) in enumerate(zip(parts, of))]
             yield pd.DataFrame(rows, columns=["file_id", "segment_no", "lang_code", "n_sentences", "n_chars", "confidence"])
 
     return texts.select("file_id", "text").mapInPandas(skip_empty(judge), "file_id string, segment_no int, lang_code string, n_sentences int, n_chars bigint, confidence double")
