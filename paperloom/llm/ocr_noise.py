@@ -1,12 +1,13 @@
 """Problem 6: noise of scanned pages: broken words, misread characters, running headers, page numbers.
 
 1. Words and neighbouring pairs of all texts are counted (per batch, then merged by partial aggregates).
-2. The lexicon is the words seen MIN_COUNT times, less the variants that a symmetric-delete lookup links to a word RATIO times
-   as frequent by misreadings alone; it is cut at MAX_LEXICON words, the bound of its broadcast.
-3. Of each text the lines that number pages and the lines that recur at page edges are taken out, broken words are joined
-   (the lexicon decides between a break and a hyphen of the word's own), and words outside the lexicon are looked up in the
-   symmetric-delete index over misread-folded forms; weighted edit distance with confusion pairs ranks the candidates, and
-   the counts of neighbouring pairs decide between candidates of equal distance.
+2. Symmetric-delete index: every word, and every word of the lexicon (seen MIN_COUNT times), is joined by the forms that one
+   deletion leaves of it after letters are folded to strokes. Weighted edit distance with confusion pairs scores the pairs.
+   A word is a misreading of one RATIO times as frequent (a rare word of any), at less than one plain edit; a plain edit is
+   admitted inside long words, elsewhere only where both neighbours have often stood beside the other word.
+3. Of each scanned text the lines that number pages and the lines that recur at page edges are taken out and broken words are
+   joined. Words outside the commonest (a broadcast bounded by COMMON_SHARE) are joined to the index by equality, and to the
+   counts of neighbouring pairs, which decide between repairs of equal cost. The lexicon is never in one place, so it has no cap.
 4. What remains is joined to paragraphs.
 
 Defined results: null and blank texts carry no noise and stay as they are; a word that is misread but resembles nothing in the
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +29,16 @@ from ..session import cut, ship, spread, table
 from .common import checked_broadcast, skip_empty
 
 MIN_COUNT, RATIO = 3, 12
-MAX_LEXICON, MAX_PAIRS = 50_000, 200_000
+#: Words that make up so large a share of all words are broadcast as known: at most its inverse, 200,000 words.
+COMMON_SHARE = 5e-6
+#: How often both neighbours must have stood beside a word for a plain edit anywhere in it to be taken for a misreading.
+CONTEXT = 12
+#: File ids of scans are broadcast up to so many (64 bytes each), else joined.
+BROADCAST_FILES = 500_000
 MIN_LINES = 3
 CONFUSION_COST, EDIT_COST, MAX_COST = 0.2, 1.0, 1.0
 #: A plain edit is taken for a misreading only in words of so many letters, and not in their first letter or last two, where words are inflected.
 MIN_PLAIN, INFLECTED = 5, 2
-MEMO_LIMIT = 300_000
 
 # What recognition reads (left) for what stands on the page (right).
 CONFUSIONS = [("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("vv", "w"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("@", "a"), ("5", "s"), ("8", "b"), ("c", "e"), ("6", "b"), ("9", "g"), ("$", "s"), ("tl", "d"), ("nn", "m"), ("m", "rn"), ("q", "g"), ("g", "q"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
@@ -49,9 +55,10 @@ _NUMBERED = re.compile(r"^\W*(?:page|seite|pagina|página|pág|sheet|blatt|folio
 _OF = re.compile(r"^\W*\d{1,4}\s*(?:/|of|von|de|di|van|sur)\s*\d{1,4}\W*$", re.I)
 _FENCED = re.compile(r"^(?:[-–—~*|=]+\s*(?:\d{1,4}|[ivxlc]{1,6})\s*[-–—~*|=]+|[\[(<{]\s*(?:\d{1,4}|[ivxlc]{1,6})\s*[\])>}])$", re.I)
 _BARE = re.compile(r"^(?:\d{1,4}|[ivxlc]{1,7})$", re.I)
-_REF = re.compile(r"[A-Z]{2}-\d+/[A-Z]\d+")
+_CODED = re.compile(r"(?<!\S)(?=\S*\d)(?=\S*[A-Z])[\w/.-]{4,}(?!\S)")
 _CLOSED = re.compile(r"[.!?…:;][\"”’)»]*$")
 _BREAK_END = re.compile(r"[^\W\d_]{1,}[-‐¬\xad]$")
+_HYPHENS = frozenset("-‐¬\xad")
 _ROMANS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
@@ -59,12 +66,29 @@ def fold(word: str) -> str:
     return word.translate(STROKES)
 
 
+@lru_cache(maxsize=1 << 14)
+def _line_key(line: str) -> str:
+    """The same for a running line and its misreadings."""
+    return fold(line.strip().lower().replace(" ", ""))
+
+
 def deletes(form: str) -> set[str]:
     return {form, *(form[:i] + form[i + 1 :] for i in range(len(form)))}
 
 
 def weighted_distance(read: str, word: str) -> float:
-    """Least cost to read `read` for `word`: confusion pairs are cheap, other edits are not."""
+    """Least cost to read `read` for `word`: confusion pairs are cheap, other edits are not. No confusion starts or ends alike on both sides, so what is equal at both ends is left out but for one letter."""
+    lo, hi, most = 0, 0, min(len(read), len(word))
+    while lo < most and read[lo] == word[lo]:
+        lo += 1
+    while hi < most - lo and read[-1 - hi] == word[-1 - hi]:
+        hi += 1
+    lo, hi = max(lo - 1, 0), max(hi - 1, 0)
+    return _least_cost(read[lo : len(read) - hi], word[lo : len(word) - hi])
+
+
+@lru_cache(maxsize=1 << 17)
+def _least_cost(read: str, word: str) -> float:
     n, m = len(read), len(word)
     inf = float("inf")
     cost = [[inf] * (m + 1) for _ in range(n + 1)]
@@ -79,21 +103,24 @@ def weighted_distance(read: str, word: str) -> float:
                 cost[i + 1][j + 1] = min(cost[i + 1][j + 1], here + step)
             if i < n:
                 cost[i + 1][j] = min(cost[i + 1][j], here + EDIT_COST)
+                for wrong, right in _CONFUSED.get(read[i], ()):
+                    if read.startswith(wrong, i) and word.startswith(right, j):
+                        a, b = i + len(wrong), j + len(right)
+                        cost[a][b] = min(cost[a][b], here + CONFUSION_COST)
             if j < m:
                 cost[i][j + 1] = min(cost[i][j + 1], here + EDIT_COST)
-            for wrong, right in CONFUSIONS:
-                if read.startswith(wrong, i) and word.startswith(right, j):
-                    a, b = i + len(wrong), j + len(right)
-                    cost[a][b] = min(cost[a][b], here + CONFUSION_COST)
     return cost[n][m]
 
 
-def plain_edit(read: str, word: str) -> bool:
-    """Whether one letter inside a long word is read as another, left out or put in; letters of equal strokes may stand anywhere."""
-    if len(read) == len(word) and fold(read) == fold(word):
-        return True
+_CONFUSED: dict[str, list[tuple[str, str]]] = defaultdict(list)
+for _wrong, _right in CONFUSIONS:
+    _CONFUSED[_wrong[0]].append((_wrong, _right))
+
+
+def one_edit(read: str, word: str) -> tuple[int, int] | None:
+    """(equal letters before, after) if one Latin letter of a long word is read as another, left out or put in."""
     if min(len(read), len(word)) < MIN_PLAIN:
-        return False
+        return None
     head = 0
     while head < min(len(read), len(word)) and read[head] == word[head]:
         head += 1
@@ -101,77 +128,19 @@ def plain_edit(read: str, word: str) -> bool:
     while tail < min(len(read), len(word)) - head and read[-1 - tail] == word[-1 - tail]:
         tail += 1
     changed = read[head : len(read) - tail] + word[head : len(word) - tail]  # Latin letters only: other signs are no misreadings but broken encodings and kinds of apostrophes
-    return head >= 1 and tail >= INFLECTED and max(len(read), len(word)) - head - tail == 1 and all(c.isalpha() and c < "ɐ" for c in changed)
+    return (head, tail) if max(len(read), len(word)) - head - tail == 1 and all(c.isalpha() and c < "ɐ" for c in changed) else None
 
 
-def eligible(word: str) -> bool:
-    return len(word) >= 3 and len(_LETTERS.findall(word)) >= 2 and not _ROMAN.match(word)
+def plain_edit(read: str, word: str) -> bool:
+    """Whether a plain edit needs no support of its neighbours: inside a long word; letters of equal strokes may stand anywhere."""
+    if len(read) == len(word) and fold(read) == fold(word):
+        return True
+    kept = one_edit(read, word)
+    return kept is not None and kept[0] >= 1 and kept[1] >= INFLECTED
 
 
-class Lexicon:
-    """Words with counts, the symmetric-delete index over their folded forms, and counts of neighbouring pairs."""
-
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int] | None = None):
-        self.counts, self.pairs = counts, pairs or {}
-        self.index: dict[str, list[str]] | None = None
-        self.memo: dict[str, list[tuple[float, str]]] = {}
-
-    def __getstate__(self):
-        return {"counts": self.counts, "pairs": self.pairs, "index": None, "memo": {}}
-
-    def candidates(self, word: str) -> list[tuple[float, str]]:
-        """(cost, word of the lexicon), best first, for a lower-case word; costs under MAX_COST, or one plain edit of a word RATIO times as frequent."""
-        out = self.memo.get(word)
-        if out is not None:
-            return out
-        if self.index is None:
-            self.index = defaultdict(list)
-            for w in self.counts:
-                if eligible(w):
-                    for d in deletes(fold(w)):
-                        self.index[d].append(w)
-        seen: set[str] = set()
-        for d in deletes(fold(word)):
-            seen.update(self.index.get(d, ()))
-        seen.discard(word)
-        scored = [(weighted_distance(word, w), w) for w in seen if abs(len(w) - len(word)) <= 3]
-        enough = RATIO * max(MIN_COUNT, self.counts.get(word, 0))
-        out = sorted((c, w) for c, w in scored if c < MAX_COST or (c <= EDIT_COST and self.counts[w] >= enough and plain_edit(word, w)))
-        out.sort(key=lambda x: (x[0], -self.counts[x[1]], x[1]))
-        if len(self.memo) >= MEMO_LIMIT:
-            self.memo.clear()
-        self.memo[word] = out
-        return out
-
-    def purge(self) -> None:
-        """Drop words that are misreadings of words RATIO times as frequent."""
-        gone = {w for w, n in self.counts.items() if eligible(w) and any(self.counts[v] >= RATIO * n for _, v in self.candidates(w)[:3])}
-        self.counts = {w: n for w, n in self.counts.items() if w not in gone}
-        self.index, self.memo = None, {}
-
-    def misread(self, token: str, before: str = "", after: str = "", whole: bool = True) -> str | None:
-        """What a token stands for, in lower case; the token itself if it is misread beyond recognition; None if it is none.
-
-        No plain edits in what could be a name, and in a piece of a word (not whole)."""
-        word = token.lower()
-        if word in self.counts or not eligible(word) or _CODE_TOKEN.match(token):
-            return None
-        if "-" in word and all(p in self.counts or len(p) < 3 for p in word.split("-")):
-            return None
-        found = self.candidates(word)
-        if not whole or (token[:1].isupper() and not token.isupper()):
-            found = [x for x in found if x[0] < MAX_COST]
-        if not found and "-" in word:
-            parts = [self.misread(p, whole=whole) if len(p) > 2 else None for p in token.split("-")]
-            if any(parts):
-                return "-".join(q or p.lower() for p, q in zip(token.split("-"), parts))
-        if found:
-            least = found[0][0]
-            ties = [w for c, w in found if c - least < 1e-9]
-            if len(ties) > 1 and self.pairs:
-                ties.sort(key=lambda w: -(self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0)))
-            return ties[0]
-        return word if len(_LETTERS.findall(token)) >= 4 and _SYMBOL_INSIDE.search(token) and not token[0].isdigit() else None
+def eligible(word: str) -> bool:
+    return len(word) >= 3 and len(_LETTERS.findall(word)) >= 2 and not _ROMAN.match(word)
 
 
 def _number(line: str) -> int | None:
@@ -198,18 +167,19 @@ def page_numbers(lines: list[str]) -> set[int]:
 
 
 def running_headers(lines: list[str], numbers: set[int]) -> set[int]:
-    """Lines that recur at page edges, with misreadings: codes, capitals, lines that interrupt a sentence or stand at a page number."""
+    """Lines that recur at page edges, with misreadings: lines that a reference number starts or ends, capitals, lines that interrupt a sentence or stand at a page number."""
     groups: dict[str, list[int]] = defaultdict(list)
     for k, x in enumerate(lines):
         if k not in numbers and 4 <= len(x) <= 160:
-            groups[fold(x.lower().replace(" ", ""))].append(k)
+            groups[_line_key(x)].append(k)
     out: set[int] = set()
     for key, places in groups.items():
         if len(places) < 2 or places[-1] < MIN_LINES:
             continue
         line = lines[places[0]]
         upper = line.isupper() and len(line.split()) >= 2
-        code = bool(_REF.search(line)) and len(_REF.sub("", line).split()) <= 12 and not _CLOSED.search(line) and (line.startswith(("CONFIDENTIAL", _REF.search(line).group())) or "|" in line or line.isupper())
+        reference = _CODED.search(line)
+        code = reference is not None and len(line.split()) <= 13 and not _CLOSED.search(line) and (reference.start() == 0 or reference.end() == len(line) or "|" in line or line.isupper())
         edge = cutting = 0
         for k in places:
             prev = next((j for j in range(k - 1, -1, -1) if j not in numbers), None)
@@ -235,34 +205,40 @@ def split_pages(text: str) -> tuple[list[str], set[int], set[int], list[bool]]:
     numbers = page_numbers(lines)
     headers = running_headers(lines, numbers)
     # a header with a variant code beside it, as on odd and even pages
-    keys = {fold(lines[k].split("|")[0].strip().lower().replace(" ", "")) for k in headers}
+    keys = {_line_key(lines[k].split("|")[0]) for k in headers}
     if keys:
-        headers |= {k for k, x in enumerate(lines) if k not in numbers and k >= MIN_LINES and not _CLOSED.search(x) and fold(x.split("|")[0].strip().lower().replace(" ", "")) in keys}
+        headers |= {k for k, x in enumerate(lines) if k not in numbers and k >= MIN_LINES and not _CLOSED.search(x) and _line_key(x.split("|")[0]) in keys}
     return lines, numbers, headers, gaps
 
 
-def join_breaks(lines: list[str], lexicon: Lexicon | None) -> tuple[list[str], int]:
-    """(lines with words over a line end made whole, how many were broken)."""
+def joined_lines(lines: list[str], common: frozenset[str]) -> tuple[list[str], list[tuple[int, int, str]], bool]:
+    """(lines with words over a line end made whole, (line, place in it, hyphenated form) of the breaks in doubt, whether one is beyond doubt).
+
+    A break is in doubt if the whole word is not common: the hyphen could be the word's own."""
     out: list[str] = []
-    broken = 0
+    doubts: list[tuple[int, int, str]] = []
+    sure = False
     for line in lines:
-        if out and _BREAK_END.search(out[-1]) and line[:1].islower():
+        if out and out[-1][-1:] in _HYPHENS and line[:1].islower() and _BREAK_END.search(out[-1]):
             head = re.search(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*[-‐¬\xad]$", out[-1])
             tail = re.match(r"[\w'’!@|$-]+", line)
             a, b = head.group()[:-1].lower() if head else "", tail.group().lower().rstrip("-") if tail else ""
-            own = lexicon is not None and f"{a}-{b}" in lexicon.counts and a + b not in lexicon.counts
             if a and b:
+                own = a + b not in common and f"{a}-{b}" in common
+                if not own and a + b in common:
+                    sure = True
+                elif not own:
+                    doubts.append((len(out) - 1, len(out[-1]) - 1, f"{a}-{b}"))
                 whole = out[-1] + tail.group() if own else out[-1][:-1] + tail.group()
                 rest = line[tail.end() :]
                 punctuation = re.match(r"\S*", rest).group()
                 out[-1] = whole + punctuation
                 rest = rest[len(punctuation) :].strip()
-                broken += not own
                 if rest:
                     out.append(rest)
                 continue
         out.append(line)
-    return out, broken
+    return out, doubts, sure
 
 
 def is_whole(text: str, m: re.Match) -> bool:
@@ -270,69 +246,126 @@ def is_whole(text: str, m: re.Match) -> bool:
     return bool(_BESIDE.match(text[max(m.start() - 1, 0) : m.start()]) and _BESIDE.match(text[m.end() : m.end() + 1]))
 
 
-def has_misread(text: str, lexicon: Lexicon) -> bool:
-    seen = set()
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        if token.lower() not in lexicon.counts:
-            key = (token, is_whole(text, m))
-            if key not in seen and lexicon.misread(token, whole=key[1]) is not None:
-                return True
-            seen.add(key)
-    return False
-
-
-def clean_words(text: str, lexicon: Lexicon) -> tuple[str, int]:
-    """(text with misread words put right, how many were misread)."""
-    out, last, count, before = [], 0, 0, ""
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        word = token.lower()
-        if word not in lexicon.counts:
-            after = ""
-            if lexicon.pairs:
-                nxt = _TOKEN.search(text, m.end())
-                after = nxt.group().lower() if nxt else ""
-            found = lexicon.misread(token, before, after, is_whole(text, m))
-            if found is not None:
-                count += 1
-                right = found.upper() if token.isupper() and len(token) > 1 else found[:1].upper() + found[1:] if token[:1].isupper() or token[:1] in "58" and found[:1].isalpha() and text[m.end() : m.end() + 1] == "" else found
-                out += [text[last : m.start()], right]
-                last = m.end()
-        before = word
-    return "".join(out) + text[last:], count
-
-
-def noise_kinds(text: str, lexicon: Lexicon) -> list[str]:
-    lines, numbers, headers, _ = split_pages(text)
-    kinds = []
-    body = [x for k, x in enumerate(lines) if k not in numbers and k not in headers]
-    joined, broken = join_breaks(body, lexicon)
-    if broken:
-        kinds.append("hyphenation")
-    if has_misread("\n".join(joined), lexicon) or any(has_misread(lines[k], lexicon) for k in headers):
-        kinds.append("misread")
-    if headers:
-        kinds.append("running_header")
-    if numbers:
-        kinds.append("page_number")
-    return kinds
-
-
-def repair(text: str, lexicon: Lexicon) -> str:
-    """Continuous paragraphs: furniture out, breaks joined, words put right, lines joined."""
+def _looked_up(token: str, common: frozenset[str]) -> bool:
+    word = token.lower()
+    return word not in common and eligible(word) and not _CODE_TOKEN.match(token)
+
+
+def _beyond(token: str) -> bool:
+    """Misread beyond recognition: signs inside a word."""
+    return len(_LETTERS.findall(token)) >= 4 and bool(_SYMBOL_INSIDE.search(token)) and not token[0].isdigit()
+
+
+SPOT = "spot int, piece int, word string, other string, before string, after string, strict boolean, beyond boolean"
+
+
+def spots_of(lines: list[str], doubts: list[tuple[int, int, str]], common: frozenset[str]) -> list[tuple]:
+    """Rows of SPOT: the words to look up. piece: -1 the whole word, else its part between hyphens; other: the hyphenated form of a
+    break in doubt; strict: no plain edits, as in what could be a name and in a piece of a word; beyond: misread in any case."""
+    words: list[str] = []
+    near: list[tuple[int, int, list[int]]] = []  # (first spot, line, spots of the words that are not common)
+    for k, line in enumerate(lines):
+        first = len(words)
+        words += map(str.lower, _TOKEN.findall(line))
+        rare = [i for i in range(first, len(words)) if words[i] not in common]
+        if rare:
+            near.append((first, k, rare))
+    open_: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for k, place, form in doubts:
+        open_[k].append((place, form))
+    rows: list[tuple] = []
+    for first, k, rare in near:
+        line = lines[k]
+        matches = list(_TOKEN.finditer(line))
+        for spot in rare:
+            m, word = matches[spot - first], words[spot]
+            token = m.group()
+            form = next((f for place, f in open_[k] if m.start() < place <= m.end()), "") if k in open_ else ""
+            known = not _looked_up(token, common)
+            if known and not form:
+                continue
+            parts = token.split("-")
+            if not form and len(parts) > 1 and all(p.lower() in common or len(p) < 3 for p in parts):
+                continue
+            whole = is_whole(line, m)
+            strict = not whole or (token[:1].isupper() and not token.isupper())
+            beside = words[spot - 1] if spot else "", words[spot + 1] if spot + 1 < len(words) else ""
+            rows.append((spot, -1, "" if known else word, form, *beside, strict, not known and _beyond(token)))
+            if len(parts) > 1:
+                for piece, p in enumerate(parts):
+                    if len(p) > 2 and _looked_up(p, common):
+                        rows.append((spot, piece, p.lower(), "", "", "", not whole or (p[:1].isupper() and not p.isupper()), _beyond(p)))
+    return rows
+
+
+def _kept_lines(text: str) -> tuple[list[str], list[str], bool, list[tuple[str, bool]]]:
+    """(lines of the body, running headers, whether pages are numbered, body lines with whether a blank line stands before)."""
     lines, numbers, headers, gaps = split_pages(text)
     kept = [(x, gaps[k]) for k, x in enumerate(lines) if k not in numbers and k not in headers]
-    paragraphs: list[list[str]] = []
+    return [x for x, _ in kept], [lines[k] for k in sorted(headers)], bool(numbers), kept
+
+
+def paragraphs_of(kept: list[tuple[str, bool]]) -> list[list[str]]:
+    """The lines of each paragraph."""
+    out: list[list[str]] = []
     width = max((len(x) for x, _ in kept), default=0)
     for x, gap in kept:
-        prev = paragraphs[-1][-1] if paragraphs else ""
-        goes_on = bool(paragraphs) and (x[:1].islower() or (not gap and (len(prev) > 0.62 * width or _CLOSED.search(prev) and len(prev) > 0.62 * width)))
-        if goes_on:
-            paragraphs[-1].append(x)
+        prev = out[-1][-1] if out else ""
+        if out and (x[:1].islower() or (not gap and len(prev) > 0.62 * width)):
+            out[-1].append(x)
         else:
-            paragraphs.append([x])
-    return "\n\n".join(clean_words(" ".join(join_breaks(p, lexicon)[0]), lexicon)[0] for p in paragraphs)
+            out.append([x])
+    return out
+
+
+def repaired_text(text: str, common: frozenset[str], repairs: dict[tuple[int, int], str], hyphens: set[int]) -> str:
+    """Continuous paragraphs: furniture out, breaks joined, words put right, lines joined.
+
+    repairs: (spot, piece) -> word; hyphens: spots whose break keeps its hyphen. Spots count over all paragraphs, as in _prepared."""
+    out, spot = [], 0
+    for lines, doubts in _paragraph_lines(text, common):
+        line = lines[0] if lines else ""
+        places = [place for _, place, _ in doubts]
+        pieces, last = [], 0
+        for m in _TOKEN.finditer(line):
+            token, right = m.group(), None
+            at = next((p for p in places if m.start() < p <= m.end()), None)
+            if at is not None and spot in hyphens:
+                right = line[m.start() : at] + "-" + line[at : m.end()]
+            elif (spot, -1) in repairs:
+                right = _cased(token, repairs[(spot, -1)])
+            else:
+                parts = token.split("-")
+                if len(parts) > 1 and any((spot, k) in repairs for k in range(len(parts))):
+                    right = "-".join(_cased(p, repairs[(spot, k)]) if (spot, k) in repairs else p for k, p in enumerate(parts))
+            if right is not None:
+                pieces += [line[last : m.start()], right]
+                last = m.end()
+            spot += 1
+        out.append("".join(pieces) + line[last:])
+    return "\n\n".join(out)
+
+
+def _cased(token: str, found: str) -> str:
+    if token.isupper() and len(token) > 1:
+        return found.upper()
+    return found[:1].upper() + found[1:] if token[:1].isupper() else found
+
+
+def _paragraph_lines(text: str, common: frozenset[str]) -> list[tuple[list[str], list[tuple[int, int, str]]]]:
+    """Each paragraph as one line with its breaks in doubt."""
+    out = []
+    for lines in paragraphs_of(_kept_lines(text)[3]):
+        joined, doubts, _ = joined_lines(lines, common)
+        starts = [0]
+        for x in joined:
+            starts.append(starts[-1] + len(x) + 1)
+        out.append(([" ".join(joined)], [(0, starts[k] + place, form) for k, place, form in doubts]))
+    return out
+
+
+# --- counts and index -------------------------------------------------------------------------------------------------
+_JOIN = re.compile(r"(?<=[^\W\d_])-\n[ \t]*(?=[a-zà-öø-ÿ])")
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,73 +381,151 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["word", "after", "n"])
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        words: Counter = Counter()
-        for text in pdf.text:
-            words.update(_TOKEN.findall(_JOIN.sub("", text).lower()))
-        rows = [(w, "", n) for w, n in words.items() if not w.isdigit()]
-        yield pd.DataFrame(rows, columns=["word", "after", "n"])
+def counted(texts: DataFrame) -> DataFrame:
+    """word, after (empty for the word alone), n over texts(text)."""
+    return cut(texts.select("text").mapInPandas(skip_empty(_counts), "word string, after string, n bigint").groupBy("word", "after").agg(F.sum("n").alias("n")))
 
 
-_JOIN = re.compile(r"(?<=[^\W\d_])-\n[ \t]*(?=[a-zà-öø-ÿ])")
+def _deletion_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(d, w, n, n >= MIN_COUNT and not _SYMBOL_INSIDE.search(w)) for w, n in zip(pdf.word, pdf.n) if eligible(w) for d in deletes(fold(w))]
+        yield pd.DataFrame(rows, columns=["key", "word", "n", "lexical"])
 
 
-def build_lexicon(texts: DataFrame, pairs: bool = False) -> Lexicon:
-    """texts has a column text; the pairs of words are counted only for repairs."""
-    counts = texts.select("text").mapInPandas(skip_empty(_counts if pairs else _word_counts), "word string, after string, n bigint").groupBy("word", "after").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= MIN_COUNT)
-    if pairs:
-        counts = cut(counts)
-    top = counts.where(F.col("after") == "").orderBy(F.desc("n"), "word").limit(MAX_LEXICON).collect()
-    beside = counts.where(F.col("after") != "").orderBy(F.desc("n"), "word", "after").limit(MAX_PAIRS).collect() if pairs else []
-    lexicon = Lexicon({r.word: r.n for r in top if not _SYMBOL_INSIDE.search(r.word)}, {(r.word, r.after): r.n for r in beside})
-    lexicon.purge()
-    return lexicon
+def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for u, v, n, m in zip(pdf.word, pdf.right, pdf.n, pdf.right_n):
+            cost = weighted_distance(u, v)
+            if cost < MAX_COST:
+                rows.append((u, v, n, m, cost, "sure"))
+            elif cost <= EDIT_COST and m >= RATIO * max(MIN_COUNT, n):
+                if plain_edit(u, v):
+                    rows.append((u, v, n, m, cost, "plain"))
+                elif one_edit(u, v):
+                    rows.append((u, v, n, m, cost, "context"))
+        yield pd.DataFrame(rows, columns=["word", "right", "n", "right_n", "cost", "kind"])
+
+
+def build_index(counts: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[str]]:
+    """(word, right, right_n, cost, kind) of every word that can be a misreading; (word) of the lexicon; its common words.
+
+    kind: sure (less than one edit), plain (an edit that needs no support), context (one that needs its neighbours)."""
+    words = counts.where(F.col("after") == "").select("word", "n")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    keys = words.mapInPandas(skip_empty(_deletion_keys), "key string, word string, n bigint, lexical boolean")
+    rights = keys.where("lexical").select("key", F.col("word").alias("right"), F.col("n").alias("right_n"))
+    near = (F.col("word") != F.col("right")) & (F.abs(F.length("word") - F.length("right")) <= 3) & ((F.col("n") < MIN_COUNT) | (F.col("right_n") >= RATIO * F.col("n")))
+    pairs = keys.select("key", "word", "n").join(rights, "key").where(near).select("word", "right", "n", "right_n").distinct()
+    scored = cut(pairs.mapInPandas(skip_empty(_scored), "word string, right string, n bigint, right_n bigint, cost double, kind string"))
+    purged = cut(scored.where((F.col("n") >= MIN_COUNT) & (F.col("kind") != "context")).select("word").distinct())
+    signs = F.regexp_like("word", F.lit(_SYMBOL_INSIDE.pattern.replace("\\W", "\\P{L}").replace("[^\\P{L}\\d_]", "\\p{L}")))
+    lexicon = cut(words.where((F.col("n") >= MIN_COUNT) & ~signs).join(purged, "word", "left_anti"))
+    options = scored.join(lexicon.select("word"), "word", "left_anti").join(purged.withColumnRenamed("word", "right"), "right", "left_anti").select("word", "right", "right_n", "cost", "kind")
+    common = frozenset(r.word for r in lexicon.where(F.col("n") >= max(MIN_COUNT, COMMON_SHARE * total)).select("word").collect())  # at most 1 / COMMON_SHARE words
+    return cut(options), lexicon.select("word"), common
+
+
+def decided(spots: DataFrame, counts: DataFrame, options: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of spots(file_id, field_name and SPOT): (those that are misread, with right; right is null beyond recognition), (breaks in doubt, with own)."""
+    key = ["file_id", "field_name", "spot", "piece"]
+    doubts = spots.where(F.col("other") != "").select(*key, "word", "other")
+    own = doubts.join(lexicon.withColumnRenamed("word", "other").withColumn("has", F.lit(True)), "other", "left").join(lexicon.withColumn("hasnt", F.lit(True)), "word", "left")
+    own = cut(own.groupBy(*key).agg(F.max(F.coalesce("has", F.lit(False)) & F.col("hasnt").isNull()).alias("own")))
+    pairs = counts.where(F.col("after") != "")
+    tried = spots.where(F.col("word") != "").join(options, "word")
+    tried = tried.where(~F.col("strict") | (F.col("kind") == "sure"))
+    tried = tried.join(pairs.select(F.col("word").alias("before"), F.col("after").alias("right"), F.col("n").alias("n_before")), ["before", "right"], "left")
+    tried = tried.join(pairs.select(F.col("word").alias("right"), "after", F.col("n").alias("n_after")), ["right", "after"], "left").fillna(0, ["n_before", "n_after"])
+    tried = tried.where((F.col("kind") != "context") | (F.least("n_before", "n_after") >= CONTEXT))
+    best = tried.groupBy(*key).agg(F.min_by("right", F.struct("cost", (-F.col("n_before") - F.col("n_after")).alias("beside"), (-F.col("right_n")).alias("rarity"), "right")).alias("right"))
+    beyond = spots.where("beyond").select(*key).distinct()
+    wrong = best.join(beyond.withColumn("beyond", F.lit(True)), key, "full").select(*key, "right")
+    return wrong.join(own.where("own").select(*key), key, "left_anti"), own
+
+
+# --- operators --------------------------------------------------------------------------------------------------------
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(file_id, field_name, text) of all fields that are not blank, and of those of scanned files."""
+    ship(spark)
+    raw = table(spark, sf_dir, "corpus").select("file_id", F.lit("raw_text").alias("field_name"), F.col("raw_text").alias("text")).where(F.length("text") > 0)
+    state = table(spark, sf_dir, "documents_state").select("file_id", F.col("ocr_text").alias("text"))
+    ocr = state.where(F.length("text") > 0).select("file_id", F.lit("ocr_text").alias("field_name"), "text")
+    scans = cut(state.where(F.col("text").isNotNull()).select("file_id").distinct())
+    held = F.broadcast(scans) if scans.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else scans
+    return spread(raw.unionByName(ocr)), spread(raw.join(held, "file_id", "left_semi").unionByName(ocr))
 
 
-def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, field_name, text of every field that is not blank."""
-    ship(spark)
-    raw = table(spark, sf_dir, "corpus").select("file_id", F.lit("raw_text").alias("field_name"), F.col("raw_text").alias("text"))
-    ocr = table(spark, sf_dir, "documents_state").select("file_id", F.lit("ocr_text").alias("field_name"), F.col("ocr_text").alias("text"))
-    return spread(raw.unionByName(ocr).where(F.length("text") > 0))
+_KEYS = "file_id string, field_name string"
 
 
-def found_noise(texts: DataFrame) -> DataFrame:
-    """file_id, field_name, noise_kind of texts(file_id, field_name, text)."""
-    held = checked_broadcast(texts.sparkSession, build_lexicon(texts))
+def _looks(texts: DataFrame, common: frozenset[str], whole: bool) -> DataFrame:
+    """file_id, field_name, hyphenation, running_header, page_number, spots of every text; whole: spots over joined paragraphs, for repairs."""
+    held = checked_broadcast(texts.sparkSession, common)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = held.value
+        known = held.value
+        names = [c.split()[0] for c in SPOT.split(", ")]
         for pdf in batches:
-            rows = [(f, field, kind) for f, field, text in zip(pdf.file_id, pdf.field_name, pdf.text) for kind in noise_kinds(text, lexicon)]
-            yield pd.DataFrame(rows, columns=["file_id", "field_name", "noise_kind"])
-
-    return texts.mapInPandas(skip_empty(look), "file_id string, field_name string, noise_kind string")
-
-
-def repaired(texts: DataFrame) -> DataFrame:
-    """file_id, field_name, text as readable paragraphs, changed."""
-    held = checked_broadcast(texts.sparkSession, build_lexicon(texts, pairs=True))
+            rows = []
+            for f, field, text in zip(pdf.file_id, pdf.field_name, pdf.text):
+                body, headers, numbered, _ = _kept_lines(text)
+                joined, doubts, sure = joined_lines(body, known)
+                if whole:
+                    lines, doubts = [], []
+                    for own, places in _paragraph_lines(text, known):
+                        doubts += [(len(lines), place, form) for _, place, form in places]
+                        lines += own
+                else:
+                    lines = joined + headers
+                rows.append((f, field, sure, bool(headers), numbered, [dict(zip(names, r)) for r in spots_of(lines, doubts, known)]))
+            yield pd.DataFrame(rows, columns=["file_id", "field_name", "hyphenation", "running_header", "page_number", "spots"])
+
+    return cut(texts.mapInPandas(skip_empty(look), f"{_KEYS}, hyphenation boolean, running_header boolean, page_number boolean, spots array<struct<{SPOT.replace(' ', ':').replace(',:', ',')}>>"))
+
+
+def found_noise(texts: DataFrame, scanned: DataFrame) -> DataFrame:
+    """file_id, field_name, noise_kind of scanned(file_id, field_name, text); texts(text) are all that words are counted in."""
+    counts = counted(texts)
+    options, lexicon, common = build_index(counts)
+    looks = _looks(scanned, common, whole=False)
+    spots = looks.select("file_id", "field_name", F.explode("spots").alias("s")).select("file_id", "field_name", "s.*")
+    wrong, own = decided(spots, counts, options, lexicon)
+    kinds = [F.when(F.col(k), F.lit(k)) for k in ("hyphenation", "running_header", "page_number")]
+    flat = looks.select("file_id", "field_name", F.explode(F.array_compact(F.array(*kinds))).alias("noise_kind"))
+    broken = own.where(~F.col("own")).select("file_id", "field_name", F.lit("hyphenation").alias("noise_kind"))
+    return flat.unionByName(broken).unionByName(wrong.select("file_id", "field_name", F.lit("misread").alias("noise_kind"))).distinct()
+
+
+def repaired(texts: DataFrame, scanned: DataFrame) -> DataFrame:
+    """file_id, field_name, text as readable paragraphs, changed; one row for each field of scanned."""
+    counts = counted(texts)
+    options, lexicon, common = build_index(counts)
+    key = ["file_id", "field_name"]
+    one = scanned.dropDuplicates(key)
+    looks = _looks(one, common, whole=True)
+    wrong, own = decided(looks.select(*key, F.explode("spots").alias("s")).select(*key, "s.*"), counts, options, lexicon)
+    rights = wrong.where(F.col("right").isNotNull()).groupBy(*key).agg(F.collect_list(F.struct("spot", "piece", "right")).alias("rights"))  # words of one text
+    kept = own.where("own").groupBy(*key).agg(F.collect_list("spot").alias("hyphens"))
+    held = checked_broadcast(texts.sparkSession, common)
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = held.value
         for pdf in batches:
-            out = [repair(t, lexicon) for t in pdf.text]
+            out = []
+            for text, own, hyphens in zip(pdf.text, pdf.rights, pdf.hyphens):
+                words = {(r["spot"], r["piece"]): r["right"] for r in own} if own is not None else {}
+                out.append(repaired_text(text, held.value, words, set(hyphens) if hyphens is not None else set()))
             yield pd.DataFrame({"file_id": pdf.file_id, "field_name": pdf.field_name, "text": out, "changed": [a != b for a, b in zip(out, pdf.text)]})
 
-    return texts.mapInPandas(skip_empty(mend), "file_id string, field_name string, text string, changed boolean")
+    return one.join(rights, key, "left").join(kept, key, "left").mapInPandas(skip_empty(mend), f"{_KEYS}, text string, changed boolean")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = found_noise(scan_texts(spark, sf_dir)).distinct()
-    scanned = table(spark, sf_dir, "documents_state").where(F.col("ocr_text").isNotNull()).select("file_id").distinct()
-    return found.join(scanned, "file_id", "left_semi")
+    return found_noise(*_tables(spark, sf_dir))
 
 
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repaired(scan_texts(spark, sf_dir).dropDuplicates(["file_id", "field_name"]))
+    return repaired(*_tables(spark, sf_dir))
 
 
 def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
