@@ -1,38 +1,40 @@
 """Problem 7: variant spellings of names of people and organisations.
 
-1. Every distinct string is parsed to a full key (surname and given name, or own name and trade, folded to lower-case letters
-   without accents, nicknames and abbreviations expanded) or to a short key (surname and initial, or own name and acronym).
-2. Full keys are joined by edit distance in a metric space: each key goes to the cell of its nearest pivot and, by the triangle
-   inequality, also to every cell whose pivot is at most 2 x RADIUS further; inside a cell the radius join is exact.
-3. A key that is one slip away from a more frequent key points to it, else one that is a slip away in each of its two parts
-   (two spellings that each carry one slip); pointers are followed to the end.
-4. Short keys join the entity of their initials if there is only one.
-
-Defined results: null, blank and placeholder values name nobody; strings are compared exactly as stored; an ambiguous initial
-stays alone; repeated rows change nothing but the counts that choose the most frequent spelling.
+1. Every distinct string is parsed to a full key of two parts (surname and given name, or own name and trade, folded to
+   lower-case letters without accents, nicknames and abbreviations expanded) or to a short key (surname and initial, or own
+   name and acronym). Which words are given names or trades is counted over all strings and joined back to each.
+2. The distinct parts are joined by edit distance in a metric space: each part goes to the cell of its nearest pivot and, by
+   the triangle inequality, also to every cell whose pivot is at most 2 x RADIUS further; inside a cell the radius join is
+   exact: names that share a form with a letter left out are compared by edit distance.
+3. A full key points to the most frequent key with one part equal and the other a slip away, else to one with a slip in each
+   part; pointers are followed to their end. Keys meet by equality of whole keys, so no surname is a hot group.
+4. Short keys join the entity of their initials if there is only one; a surname that fits nobody is tried again through
+   surnames a slip away, and short keys that fit nobody point to more frequent short keys a slip away.
+
+Defined results: null, blank and placeholder values name nobody; strings are compared exactly as stored; a short spelling that
+fits several people has an entity of its own, shared by equal short keys; repeated rows change nothing but the counts that
+choose the most frequent spelling.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, ship, table
-from .common import checked_broadcast, skip_empty
-
-RADIUS = 2
-#: Names for each pivot, and the most pivots there are (their distances are computed for every key).
-PER_PIVOT, MAX_PIVOTS = 40, 1024
-#: Tokens known as given names or as trades are broadcast; so many at most, the most frequent.
-MAX_TOKENS = 200_000
-MAX_HOPS = 12
-#: Two slips, one in each part of a key, are looked for in parts of so many letters.
+from .common import skip_empty
+
+#: Edit distance of parts of keys; two letters in the wrong order are found by equality.
+RADIUS = 1
+#: Pivots of each space, and names for each if there are few. Typed names are far from each other, so each name is copied to
+#: about half of the cells; more pivots would mean more copies.
+PIVOTS, PER_PIVOT = 16, 40
+#: A slip in each part of a key is looked for in parts of so many letters; a slip in a short key's surname in one more.
 MIN_PART = 4
 
 # Nicknames and the names they stand for.
@@ -169,11 +171,16 @@ def parse_organisation(value: str, trades: frozenset[str] | set[str]) -> tuple[s
     return (" ".join(own), " ".join(trade), "".join(w[0] for w in trade), "")
 
 
-def _token_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of each token in the place of a given name or of an own name, and beside how many others."""
+def _all_words(value: str) -> list[str]:
+    """Every word of an organisation's name that could be a trade, abbreviations expanded."""
+    return [SHORT_WORDS.get(w, w) for w in (fold(m) for m in re.findall(r"[\w']+(?:&[\w']+)?", re.sub(r"\b((?:\w\.){2,})", lambda m: m.group().replace(".", ""), value)))]
+
+
+def _tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strings with all their tokens, and those in the place of a given name or trade (second) or of a surname or own name (first)."""
     for pdf in batches:
-        counts: Counter = Counter()
-        for field, value in zip(pdf.field_name, pdf.value):
+        rows = []
+        for field, value, n in zip(pdf.field_name, pdf.value, pdf.n):
             if field == "author":
                 tokens = person_tokens(value)
                 if tokens is None:
@@ -185,75 +192,135 @@ def _token_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     given, sur = [t for t in first[:1] if len(t) > 2], [t for t in first[-1:] if len(t) > 2]
                 else:
                     given, sur = [], []
+                every = first + (after or [])
             else:
                 words = [w for w, written in organisation_words(value) if value.isupper() or not _acronym(written)]
-                given, sur = words[1:], words[:1]
-            for t in given:
-                counts[(field, t, 1)] += 1
-            for t in sur:
-                counts[(field, t, 0)] += 1
-        yield pd.DataFrame([(f, t, r, n) for (f, t, r), n in counts.items()], columns=["field_name", "token", "role", "n"])
+                given, sur, every = words[1:], words[:1], _all_words(value)
+            rows.append((field, value, n, list(dict.fromkeys(every)), given, sur))
+        yield pd.DataFrame(rows, columns=["field_name", "value", "n", "tokens", "second", "first"])
 
 
 def parsed(values: DataFrame) -> DataFrame:
     """values(field_name, value, n) with base, detail, initial, middle of each string that names somebody."""
-    spark = values.sparkSession
-    roles = values.mapInPandas(skip_empty(_token_roles), "field_name string, token string, role int, n bigint").groupBy("field_name", "token").agg(
-        F.sum(F.when(F.col("role") == 1, F.col("n")).otherwise(0)).alias("second"), F.sum(F.when(F.col("role") == 0, F.col("n")).otherwise(0)).alias("own")
-    )
+    tokens = cut(values.mapInPandas(skip_empty(_tokenised), "field_name string, value string, n bigint, tokens array<string>, second array<string>, first array<string>"))
+    places = tokens.select("field_name", F.explode("second").alias("token"), F.lit(1).alias("second")).unionByName(tokens.select("field_name", F.explode("first").alias("token"), F.lit(0).alias("second")))
+    roles = places.groupBy("field_name", "token").agg(F.sum("second").alias("second"), F.sum(1 - F.col("second")).alias("own"))
     known = roles.where(((F.col("field_name") == "author") & (F.col("second") > F.col("own"))) | ((F.col("field_name") != "author") & (F.col("second") >= 3) & (F.col("second") > 2 * F.col("own"))))
-    sets: dict[str, set] = {"author": set(NICKNAMES.values()) | set(NICKNAMES), "organization": set(SHORT_WORDS.values())}
-    for r in known.orderBy(F.desc("second"), "token").limit(MAX_TOKENS).collect():
-        sets[r.field_name].add(r.token)
-    held = checked_broadcast(spark, {k: frozenset(v) for k, v in sets.items()})
+    hits = tokens.select("field_name", "value", F.explode("tokens").alias("token")).join(known.select("field_name", "token"), ["field_name", "token"])
+    hits = hits.groupBy("field_name", "value").agg(F.collect_set("token").alias("known"))  # at most the words of one string
+    always = {"author": frozenset(NICKNAMES.values()) | frozenset(NICKNAMES), "organization": _TRADES}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for field, value, n in zip(pdf.field_name, pdf.value, pdf.n):
-                out = parse_person(value, held.value["author"]) if field == "author" else parse_organisation(value, held.value["organization"])
+            for field, value, n, own in zip(pdf.field_name, pdf.value, pdf.n, pdf.known):
+                words = always[field].union(own) if own is not None else always[field]
+                out = parse_person(value, words) if field == "author" else parse_organisation(value, words)
                 if out and out[0]:
                     rows.append((field, value, n, *out))
             yield pd.DataFrame(rows, columns=["field_name", "value", "n", "base", "detail", "initial", "middle"])
 
-    return values.mapInPandas(skip_empty(parse), "field_name string, value string, n bigint, base string, detail string, initial string, middle string")
+    both = tokens.select("field_name", "value", "n").join(hits, ["field_name", "value"], "left")
+    return both.mapInPandas(skip_empty(parse), "field_name string, value string, n bigint, base string, detail string, initial string, middle string")
 
 
-def radius_pairs(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All pairs (space, a, b, distance) with a < b and edit distance up to radius of keys(space, key), which are distinct."""
+def radius_pairs(keys: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
+    """All pairs (space, a, b, distance) with a < b and edit distance up to radius of keys(space, key), which are distinct.
+
+    Inside a cell only names that share a form with up to radius letters left out are compared (names within radius always
+    do), so the work grows with the number of names and a large cell is no task of its own."""
+    spark = keys.sparkSession
     rows = []
-    sizes = {r.space: r.n for r in keys.groupBy("space").agg(F.count("*").alias("n")).collect()}
-    for space, n in sizes.items():
-        count = max(1, min(MAX_PIVOTS, n // PER_PIVOT))
-        pivots = [r.key for r in keys.where(F.col("space") == space).orderBy(F.xxhash64("key"), "key").limit(count).collect()]
-        rows.append((space, pivots))
+    for space, n in {r.space: r.n for r in keys.groupBy("space").agg(F.count("*").alias("n")).collect()}.items():  # one row a field and part
+        count = max(1, min(pivots, n // PER_PIVOT))
+        rows.append((space, [r.key for r in keys.where(F.col("space") == space).orderBy(F.xxhash64("key"), "key").limit(count).collect()]))
     if not rows:
-        return keys.sparkSession.createDataFrame([], "space string, a string, b string, distance int")
-    spark = keys.sparkSession
+        return spark.createDataFrame([], "space string, a string, b string, distance int")
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: by number, so it is not coalesced
-    table_of = spark.createDataFrame(rows, "space string, pivots array<string>")
-    far = keys.repartition(tasks, "key").join(F.broadcast(table_of), "space").withColumn("far", F.expr("transform(pivots, p -> levenshtein(key, p))")).drop("pivots")
-    far = far.withColumn("least", F.array_min("far")).withColumn("home", F.array_position("far", F.col("least")).cast("int") - 1)
-    cells = far.withColumn("cell", F.explode(F.expr(f"filter(sequence(0, size(far) - 1), i -> far[i] <= least + {2 * radius})"))).select("space", "key", "home", "cell", F.length("key").alias("size"))
-    cells = cut(cells)
-    at_home = cells.where(F.col("home") == F.col("cell")).select("space", "cell", F.col("key").alias("x"), F.col("size").alias("x_size")).repartition(tasks, "space", "cell")
-    joined = at_home.join(cells.select("space", "cell", F.col("key").alias("y"), F.col("size").alias("y_size")).repartition(tasks, "space", "cell"), ["space", "cell"])
-    near = joined.where((F.col("x") != F.col("y")) & (F.abs(F.col("x_size") - F.col("y_size")) <= radius)).withColumn("distance", F.expr(f"levenshtein(x, y, {radius})"))
-    near = near.where(F.col("distance") >= 0)
-    return near.select("space", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
+    far = keys.repartition(tasks, "key").join(F.broadcast(spark.createDataFrame(rows, "space string, pivots array<string>")), "space")
+    far = far.withColumn("far", F.expr("transform(pivots, p -> levenshtein(key, p))")).withColumn("least", F.array_min("far")).withColumn("home", F.array_position("far", F.col("least")).cast("int") - 1)
+    forms = "array(key)"
+    for _ in range(radius):
+        forms = f"array_distinct(concat({forms}, flatten(transform({forms}, f -> transform(sequence(1, greatest(length(f), 1)), i -> concat(left(f, i - 1), substr(f, i + 1)))))))"
+    cells = far.select("space", "key", "home", F.expr(f"transform({forms}, f -> xxhash64(f))").alias("forms"), F.explode(F.expr(f"filter(sequence(0, size(far) - 1), i -> far[i] <= least + {2 * radius})")).alias("cell"))
+    cells = cells.select("space", "cell", F.explode("forms").alias("form"), "key", (F.col("home") == F.col("cell")).alias("home"))
+    x, y = cells.where("home").select("space", "cell", "form", F.col("key").alias("x")), cells.select("space", "cell", "form", F.col("key").alias("y"))
+    near = x.join(y, ["space", "cell", "form"]).where(F.col("x") != F.col("y")).select("space", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return near.withColumn("distance", F.expr(f"levenshtein(a, b, {radius})")).where(F.col("distance") >= 0)
+
+
+def swapped_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (space, a, b) with a < b of keys(space, key) that differ by two neighbouring letters in the other order."""
+    other = F.expr("explode(transform(sequence(1, greatest(length(key) - 1, 1)), i -> concat(left(key, i - 1), substr(key, i + 1, 1), substr(key, i, 1), substr(key, i + 2))))")
+    return keys.select("space", F.col("key").alias("a"), other.alias("key")).where(F.col("a") < F.col("key")).distinct().join(keys, ["space", "key"]).select("space", "a", F.col("key").alias("b"))
 
 
 def _follow(pointers: DataFrame) -> DataFrame:
-    """(space, key, root) from (space, key, target): pointers are doubled until they end."""
+    """(space, key, root) from (space, key, target): pointers are doubled until they end; they have no cycles."""
     current = pointers.select("space", "key", F.col("target").alias("root"))
-    for _ in range(MAX_HOPS):
+    while True:
         step = current.alias("p").join(current.select("space", F.col("key").alias("root"), F.col("root").alias("next")), ["space", "root"], "left")
         nxt = cut(step.select("space", "key", F.coalesce("next", "root").alias("new"), "root"))
         moved = nxt.where(F.col("new") != F.col("root")).limit(1).count()
         current = nxt.select("space", "key", F.col("new").alias("root"))
         if not moved:
-            break
-    return current
+            return current
+
+
+def _pointed(weights: DataFrame, edges: DataFrame) -> DataFrame:
+    """(space, key, root) of weights(space, key, n) by edges(space, key, other, one): to the more frequent other, one slip before two."""
+    both = edges.join(weights, ["space", "key"]).join(weights.select("space", F.col("key").alias("other"), F.col("n").alias("other_n")), ["space", "other"])
+    better = both.where((F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("key"))))
+    target = better.groupBy("space", "key").agg(F.max_by("other", F.struct("one", "other_n", "other")).alias("target"))
+    return _follow(weights.select("space", "key").join(target, ["space", "key"], "left").withColumn("target", F.coalesce("target", "key")))
+
+
+def neighbours(names: DataFrame) -> DataFrame:
+    """(space, place, part, other, distance) in both directions: parts of keys a slip apart, or two letters swapped (distance 2)."""
+    spaces = F.array(F.struct(F.lit("b").alias("place"), F.col("base").alias("key")), F.struct(F.lit("d").alias("place"), F.col("detail").alias("key")))
+    parts = names.where((F.col("detail") != "") | (F.col("initial") != "")).select("field_name", F.explode(spaces).alias("p")).where(F.col("p.key") != "")
+    parts = parts.select(F.concat_ws("/", "field_name", "p.place").alias("space"), "p.key").distinct()
+    parts = cut(parts)
+    pairs = radius_pairs(parts).unionByName(swapped_pairs(parts).withColumn("distance", F.lit(2)))
+    out = pairs.select("space", F.col("a").alias("part"), F.col("b").alias("other"), "distance").unionByName(pairs.select("space", F.col("b").alias("part"), F.col("a").alias("other"), "distance"))
+    return cut(out.select(F.split_part("space", F.lit("/"), F.lit(1)).alias("space"), F.split_part("space", F.lit("/"), F.lit(2)).alias("place"), "part", "other", "distance"))
+
+
+def key_edges(keys: DataFrame, near: DataFrame) -> DataFrame:
+    """(space, key, other, one) between keys(space, key, base, detail); other need not be a key."""
+    def of(place: str, part: str) -> DataFrame:
+        return near.where(F.col("place") == place).select("space", F.col("part").alias(part), F.col("other").alias(f"{part}_2"), F.col("distance").alias(f"{part}_distance"))
+
+    bases, details = of("b", "base"), of("d", "detail")
+    by_base = keys.join(bases, ["space", "base"])
+    one = by_base.select("space", "key", F.concat_ws("|", "base_2", "detail").alias("other")).unionByName(keys.join(details, ["space", "detail"]).select("space", "key", F.concat_ws("|", "base", "detail_2").alias("other")))
+    long = lambda c: (F.length(c) >= MIN_PART) & (F.length(f"{c}_2") >= MIN_PART) & (F.col(f"{c}_distance") == 1)
+    two = by_base.where(long("base")).join(details.where(long("detail")), ["space", "detail"]).select("space", "key", F.concat_ws("|", "base_2", "detail_2").alias("other"))
+    return one.withColumn("one", F.lit(True)).unionByName(two.withColumn("one", F.lit(False)))
+
+
+def fitting(short: DataFrame, heads: DataFrame) -> DataFrame:
+    """short(field_name, base, initial, middle, look) with n_fit, root, n_sure, sure: the entities that a short key fits.
+
+    look is the surname to look under. heads(field_name, base, detail, root, middles) are summed by surname and initial, or
+    name, before they meet the short keys: a surname with many people is one row for each initial."""
+    acronym = F.when(F.col("field_name") == "author", F.left("detail", F.lit(1))).otherwise(F.expr("array_join(transform(split(detail, ' '), w -> left(w, 1)), '')"))
+    tagged = heads.withColumn("tag", F.explode(F.array(acronym, F.concat(F.lit("="), F.col("detail")))))
+    bare = F.size("middles") == 0
+    group = ["field_name", "base", "tag"]
+    alone = tagged.groupBy(*group).agg(F.count("*").alias("n_all"), F.max("root").alias("r_all"), F.count_if(bare).alias("n_bare"), F.max(F.when(bare, F.col("root"))).alias("r_bare"))
+    lettered = tagged.withColumn("m", F.explode(F.array_distinct(F.transform("middles", lambda x: F.left(x, F.lit(1)))))).groupBy(*group, "m").agg(F.count("*").alias("n_letter"), F.max("root").alias("r_letter"))
+    meanings = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k in ALSO for x in ("~" + k, ["=" + o for o in _options("~" + k)])])
+    tags = F.when(F.col("initial").startswith("~"), F.try_element_at(meanings, F.col("initial"))).otherwise(F.array("initial"))
+    asked = short.withColumn("tag", F.explode(tags)).withColumn("m", F.left("middle", F.lit(1)))
+    met = asked.join(alone.withColumnRenamed("base", "look"), ["field_name", "look", "tag"]).join(lettered.withColumnRenamed("base", "look"), ["field_name", "look", "tag", "m"], "left")
+    has = F.col("m") != ""
+    letter = F.coalesce("n_letter", F.lit(0))
+    met = met.select(
+        *[c for c in short.columns if c != "look"], F.when(has, F.col("n_bare") + letter).otherwise(F.col("n_all")).alias("n"), F.when(has, F.coalesce("r_letter", "r_bare")).otherwise(F.col("r_all")).alias("r"),
+        F.when(has, letter).otherwise(F.lit(0)).alias("ns"), F.when(has, F.col("r_letter")).alias("rs"),
+    )
+    return met.groupBy(*[c for c in short.columns if c != "look"]).agg(F.sum("n").alias("n_fit"), F.max(F.when(F.col("n") > 0, F.col("r"))).alias("root"), F.sum("ns").alias("n_sure"), F.max("rs").alias("sure"))
 
 
 def linked(values: DataFrame, ambiguous: bool = False) -> DataFrame:
@@ -262,43 +329,34 @@ def linked(values: DataFrame, ambiguous: bool = False) -> DataFrame:
     ambiguous: also short spellings that fit several entities, as entities of their own."""
     ship(values.sparkSession)
     names = cut(parsed(values))
-    glue = F.concat_ws("|", "base", "detail")
-    full = names.where(F.col("detail") != "").withColumn("key", glue)
-    weights = full.groupBy(F.col("field_name").alias("space"), "key").agg(F.sum("n").alias("n"))
-    weights = cut(weights)
-    pairs = radius_pairs(weights.select("space", "key"))
-    same = F.array_join(F.array_sort(F.split("a", "")), "") == F.array_join(F.array_sort(F.split("b", "")), "")
-    apart = [F.levenshtein(*[F.split_part(c, F.lit("|"), F.lit(i)) for c in ("a", "b")]) == 1 for i in (1, 2)]
-    long = [F.length(F.split_part(c, F.lit("|"), F.lit(i))) >= MIN_PART for c in ("a", "b") for i in (1, 2)]
-    slips = pairs.withColumn("one", (F.col("distance") == 1) | ((F.col("distance") == 2) & same)).where(F.col("one") | ((F.col("distance") == 2) & apart[0] & apart[1] & long[0] & long[1] & long[2] & long[3]))
-    both = slips.select("space", F.col("a").alias("key"), F.col("b").alias("other"), "one").unionByName(slips.select("space", F.col("b").alias("key"), F.col("a").alias("other"), "one"))
-    both = both.join(weights, ["space", "key"]).join(weights.select("space", F.col("key").alias("other"), F.col("n").alias("other_n")), ["space", "other"])
-    better = both.where((F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("key"))))
-    target = better.groupBy("space", "key").agg(F.max_by("other", F.struct("one", "other_n", "other")).alias("target"))
-    pointers = weights.select("space", "key").join(target, ["space", "key"], "left").withColumn("target", F.coalesce("target", "key"))
-    roots = _follow(pointers)
-    whole = full.join(roots.select(F.col("space").alias("field_name"), "key", "root"), ["field_name", "key"])
-    # nicknames that stand for several names, and initials: the entity must be the only one that they fit
-    heads = cut(whole.groupBy("field_name", "root").agg(F.sum("n").alias("weight"), F.collect_set(F.nullif("middle", F.lit(""))).alias("middles")))
-    heads = heads.withColumns({"base": F.split_part("root", F.lit("|"), F.lit(1)), "detail": F.split_part("root", F.lit("|"), F.lit(2))})
-    acronym = F.when(F.col("field_name") == "author", F.left("detail", F.lit(1))).otherwise(F.expr("array_join(transform(split(detail, ' '), w -> left(w, 1)), '')"))
-    heads = heads.withColumn("head_initial", acronym).select("field_name", "base", "head_initial", "detail", "root", "middles")
-    short = names.where((F.col("detail") == "") & (F.col("initial") != "")).select("field_name", "value", "base", "initial", "middle")
-    fits = (F.col("middle") == "") | (F.size("middles") == 0) | F.exists("middles", lambda m: F.left(m, F.lit(1)) == F.left("middle", F.lit(1)))
-    meanings = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for k in ALSO for x in ("~" + k, _options("~" + k))])
-    named = F.when(F.col("initial").startswith("~"), F.array_contains(F.try_element_at(meanings, F.col("initial")), F.col("detail"))).otherwise(F.col("initial") == F.col("head_initial"))
-    tried = short.join(heads, ["field_name", "base"], "left").withColumn("fit", F.coalesce(F.col("root").isNotNull() & named & fits, F.lit(False)))
-    chosen = tried.groupBy("field_name", "value", "base", "initial", "middle").agg(
-        F.count_if("fit").alias("n_fit"), F.max(F.when(F.col("fit"), F.col("root"))).alias("root"),
-        F.count_if(F.col("fit") & (F.col("middle") != "") & (F.size("middles") > 0)).alias("n_sure"), F.max(F.when(F.col("fit") & (F.col("middle") != "") & (F.size("middles") > 0), F.col("root"))).alias("sure"),
-    )
-    alone = F.concat_ws("|", F.lit("short"), "base", "initial")
-    chosen = chosen.withColumn("entity", F.when(F.col("n_fit") == 1, F.col("root")).when(F.col("n_sure") == 1, F.col("sure")).when(F.col("n_fit") == 0, alone))
+    near = neighbours(names)
+    full = names.where(F.col("detail") != "").withColumn("key", F.concat_ws("|", "base", "detail"))
+    keys = cut(full.groupBy(F.col("field_name").alias("space"), "key", "base", "detail").agg(F.sum("n").alias("n")))
+    roots = _pointed(keys.select("space", "key", "n"), key_edges(keys, near))
+    whole = cut(full.join(roots.select(F.col("space").alias("field_name"), "key", "root"), ["field_name", "key"]))
+    heads = whole.groupBy("field_name", "root").agg(F.collect_set(F.nullif("middle", F.lit(""))).alias("middles"))
+    heads = cut(heads.withColumns({"base": F.split_part("root", F.lit("|"), F.lit(1)), "detail": F.split_part("root", F.lit("|"), F.lit(2))}))
+    # initials, and nicknames that stand for several names: the entity must be the only one that they fit
+    spelled = names.where((F.col("detail") == "") & (F.col("initial") != ""))
+    own = ["field_name", "base", "initial", "middle"]
+    short = cut(spelled.groupBy(*own).agg(F.sum("n").alias("n")))
+    beside = near.where((F.col("place") == "b") & (F.length("part") > MIN_PART) & (F.length("other") > MIN_PART)).select(F.col("space").alias("field_name"), F.col("part").alias("base"), F.col("other").alias("look"))
+    asked = short.select(*own, F.col("base").alias("look"), F.lit(1).alias("exact")).unionByName(short.select(*own).join(beside, ["field_name", "base"]).withColumn("exact", F.lit(0)))
+    fits = fitting(asked, heads).where(F.col("n_fit") > 0)
+    fits = fits.groupBy(*own).agg(F.max_by(F.struct("n_fit", "root", "n_sure", "sure"), "exact").alias("f")).select(*own, "f.*")  # surnames as written go first
+    entity = F.when(F.col("n_fit") == 1, F.col("root")).when(F.col("n_sure") == 1, F.col("sure"))
+    found = cut(fits.select(*own, entity.alias("entity")))
+    # short keys that fit nobody: equal surnames and initials are one, and point to more frequent ones a slip away
+    nobody = short.join(found.select(*own), own, "left_anti").withColumn("key", F.concat_ws("|", "base", "initial"))
+    single = cut(nobody.groupBy(F.col("field_name").alias("space"), "key", "base", "initial").agg(F.sum("n").alias("n")))
+    steps = single.join(beside.withColumnRenamed("field_name", "space"), ["space", "base"]).select("space", "key", F.concat_ws("|", "look", "initial").alias("other"), F.lit(True).alias("one"))
+    alone = _pointed(single.select("space", "key", "n"), steps).select(F.col("space").alias("field_name"), "key", F.concat_ws("|", F.lit("short"), "root").alias("entity"))
+    chosen = found.select(*own, "entity").unionByName(nobody.join(alone, ["field_name", "key"]).select(*own, "entity"))
     if ambiguous:
         chosen = chosen.withColumn("entity", F.coalesce("entity", F.concat_ws("|", F.lit("short"), "base", "initial", "middle")))
+    shorts = spelled.select("value", *own).join(chosen.where(F.col("entity").isNotNull()), own).select("field_name", "value", "entity")
     sole = names.where((F.col("detail") == "") & (F.col("initial") == "")).select("field_name", "value", F.concat_ws("|", F.lit("sole"), "base").alias("entity"))
-    out = whole.select("field_name", "value", F.col("root").alias("entity"))
-    return out.unionByName(chosen.where(F.col("entity").isNotNull()).select("field_name", "value", "entity")).unionByName(sole)
+    return whole.select("field_name", "value", F.col("root").alias("entity")).unionByName(shorts).unionByName(sole)
 
 
 def name_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,9 +372,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per string with its entity and the entity's number of spellings."""
-    out = linked(name_values(spark, sf_dir), ambiguous=True)
-    return out.withColumn("n_spellings", F.count("*").over(Window.partitionBy("field_name", "entity")))
+    """One row per string with its entity and the entity's number of spellings (counted before the join, so no entity is one task)."""
+    out = cut(linked(name_values(spark, sf_dir), ambiguous=True))
+    return out.join(out.groupBy("field_name", "entity").agg(F.count("*").alias("n_spellings")), ["field_name", "entity"])
 
 
 QUERIES = {"p7_found": p7_found, "p7_entities": p7_entities}
