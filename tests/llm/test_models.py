@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from paperloom.llm import encoding as E
 from paperloom.llm import language as L
 from paperloom.llm import names as N
-from paperloom.llm import ocr_noise as O
+from paperloom.llm import ocr_noise
 from paperloom.llm import subjects as S
 from paperloom.llm import truncation as T
 from paperloom.llm.sentences import sentences
 
+from . import noise_reference as O
+
 WORDS = "über für geprüft wählen größer schön été à déjà présenté où señala próxima inspección também não são até já perché è già één geïnspecteerd Kühlhafen Lindøy Brèva".split()
 
 
@@ -49,6 +51,32 @@ def test_lost_characters_of_long_words_are_restored():
         assert model.decide(word.replace("ü", "�")) == ("lost characters", word)
 
 
+def test_restoring_is_an_exact_search():
+    rng = random.Random(9)
+    grams = {}
+    for word in WORDS:
+        for context, ch in E._grams(word):
+            grams[context + ch] = grams.get(context + ch, 0) + rng.randrange(1, 40)
+    model = E.Model(grams)
+    model.margin = 0.0
+    for word in WORDS:
+        for k in range(len(word) - 1):
+            for lost in (word[:k] + "�" + word[k + 1 :], word[:k] + "��" + word[k + 2 :]):
+                n = lost.count("�")
+                spellings = [lost.replace("�", "{}").format(*(c if n > 1 else (c,))) for c in (model.letters if n == 1 else [(a, b) for a in model.letters for b in model.letters])]
+                best = max(spellings, key=model.score)
+                assert abs(model.score(model.restore(lost)) - model.score(best)) < 1e-9 or model.restore(lost) == lost
+    assert model.restore("a���b") == "a���b"
+
+
+def test_accuracy_on_held_out_words(spark):
+    rng = random.Random(2)
+    df = corpus(spark, [(f"c{i}", " ".join(rng.choice(WORDS) + rng.choice(["", "s", "n", "en", "t"]) for _ in range(30)), None) for i in range(120)])
+    rows = {r.chain: r for r in E.accuracy(df).collect()}
+    assert rows["utf-8 as cp1252"].n_restored >= 0.9 * rows["utf-8 as cp1252"].n_words > 0 and all(r.n_words >= r.n_noticed >= r.n_restored for r in rows.values())
+    assert E.accuracy(df.limit(0)).count() == 0
+
+
 def test_truncation_held_out(spark):
     rng = random.Random(3)
     endings = ["no open item remains", "the remaining remarks are minor", "it was found in order", "the plan was approved by the board", "within ten days of receipt"]
@@ -161,7 +189,7 @@ def test_misread_letters_ligatures_and_plain_edits():
 
 def test_pairs_seen_once_a_batch_are_counted(spark):
     texts = spark.createDataFrame([("open item",)] * 4, "text string").repartition(4)
-    assert O.build_lexicon(texts, pairs=True).pairs == {("open", "item"): 4}
+    assert {(r.word, r.after): r.n for r in ocr_noise.counted(texts).collect()} == {("open", ""): 4, ("item", ""): 4, ("open", "item"): 4}
     one_each = O._counts(iter([O.pd.DataFrame({"text": ["open item"]})] * 3))
     assert sum(int(x[x.after == "item"].n.sum()) for x in one_each) == 3
 
@@ -186,9 +214,12 @@ def test_radius_join_against_brute_force(spark):
     got = {(r.a, r.b): r.distance for r in N.radius_pairs(df).collect()}
     want = {(a, b): d for i, a in enumerate(keys) for b in keys[i + 1 :] if (d := levenshtein(a, b)) <= N.RADIUS}
     assert got == want
-    assert {(r.a, r.b): r.distance for r in N.radius_pairs(df, cell=20).collect()} == want  # cells divided level by level
+    assert {(r.a, r.b): r.distance for r in N.radius_pairs(df, pivots=3).collect()} == want
+    wider = {(a, b): d for i, a in enumerate(keys) for b in keys[i + 1 :] if (d := levenshtein(a, b)) <= 2}
     two = df.unionByName(df.withColumn("space", F.lit("t")))
-    assert N.radius_pairs(two, cell=40).count() == 2 * len(want)
+    assert N.radius_pairs(two, radius=2).count() == 2 * len(wider)
+    swaps = {(a, b) for a in keys for b in keys if a < b and any(a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :] == b for i in range(len(a) - 1))}
+    assert {(r.a, r.b) for r in N.swapped_pairs(df).collect()} == swaps
     assert N.radius_pairs(df.limit(0)).count() == 0
 
 
@@ -253,10 +284,19 @@ def test_subjects(spark):
 
 def test_infer_proportions_sum_to_one():
     phi = np.array([[0.9, 0.1], [0.1, 0.9]])
-    theta, *_ = S.infer([[[0, 0, 1]], [[1]]], phi)
+    theta, *_ = S.infer([np.array([0, 0, 1]), np.array([1])], phi)
     assert theta.sum(axis=1) == pytest.approx([1, 1]) and theta[0, 0] > theta[1, 0]
 
 
+def test_topics_are_mapped_by_their_terms():
+    seeds = np.zeros((S.K, 60))
+    seeds[2, :20], seeds[5, 20:40] = 1 / 20, 1 / 20
+    phi = np.full((4, 60), 1e-6)
+    phi[0, 20:40], phi[1, :20], phi[2, 40:], phi[3, 5:15] = 0.05, 0.05, 0.05, 0.1
+    speaks = S.mapped(phi, seeds, np.full(60, 1e-3))
+    assert [int(r.argmax()) if r.any() else None for r in speaks][:2] == [5, 2] and speaks[3, 2] == 1 and speaks.sum(axis=1).max() == 1
+
+
 def test_queries_are_registered(sf, spark):
     import __spark_entry__ as entry
     from paperloom import llm
