@@ -5,7 +5,7 @@
    applies and no replacement or control character stands.
 3. Each word of a record is scored as it stands and after every encode-decode chain; the likeliest chain is taken if its
    gain in log-likelihood exceeds a margin validated on the clean words.
-4. Characters lost to U+FFFD mark the field in any case; they are restored if one letter is likelier than all others by the margin.
+4. Characters lost to U+FFFD mark the field in any case; they are restored if the likeliest spelling beats all others by the margin.
 
 Words are tried run by run for chains that end in UTF-8 (a garbled stretch may touch a clean one) and whole for single-byte chains.
 
@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +33,8 @@ SINGLE_BYTE = [("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252")
 
 #: Words are parts without white space that hold a character beyond ASCII.
 WORD = r"[^ \t\n\x0B\f\r]*[^\x00-\x7F][^ \t\n\x0B\f\r]*"
-#: The model keeps at most so many trigrams (the most frequent), a bound of its broadcast.
-MAX_GRAMS = 400_000
+#: Trigrams, contexts and letters that make up less than this share of all count as unseen: so a level has at most the inverse.
+GRAM_SHARE = 1e-6
 #: Least margin in nats; the validated margin is the quantile of the gains on clean words if that is more.
 FLOOR, QUANTILE, CEILING = 2.5, 0.999, 8.0
 PURGES = 2
@@ -111,19 +112,25 @@ def _grams(word: str) -> Iterator[tuple[str, str]]:
         yield padded[i - 2 : i], padded[i]
 
 
+def _levels(gram: str) -> tuple[tuple[str, str], ...]:
+    """The counts that a trigram adds to besides its own: its context, its bigram, the letter before the last, the last."""
+    return ("2", gram[:2]), ("b", gram[1:]), ("m", gram[1]), ("1", gram[2])
+
+
 class Model:
     """Character trigrams, smoothed by interpolation with bigrams, letters and a flat rest."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.tri, self.tri_all, self.bi, self.bi_all, self.one = counts, Counter(), Counter(), Counter(), Counter()
-        for gram, n in counts.items():
-            self.tri_all[gram[:2]] += n
-            self.bi[gram[1:]] += n
-            self.bi_all[gram[1]] += n
-            self.one[gram[2]] += n
+    def __init__(self, counts: dict[str, int], lower: dict[str, dict[str, int]] | None = None):
+        """counts of trigrams; lower: those of their contexts (2), bigrams (b), middle letters (m) and letters (1), else summed from counts."""
+        if lower is None:
+            lower = {"2": Counter(), "b": Counter(), "m": Counter(), "1": Counter()}
+            for gram, n in counts.items():
+                for level, part in _levels(gram):
+                    lower[level][part] += n
+        self.tri, self.tri_all, self.bi, self.bi_all, self.one = counts, lower["2"], lower["b"], lower["m"], lower["1"]
         self.total = sum(self.one.values()) or 1
         self.margin = FLOOR
-        self.letters = [ch for ch, _ in self.one.most_common() if ch.isalpha() and ord(ch) > 127 or ch in "’–…“”°"][:80]
+        self.letters = [ch for ch in sorted(self.one, key=lambda c: (-self.one[c], c)) if ch.isalpha() and ord(ch) > 127 or ch in "’–…“”°"]
         self.memo: dict[str, tuple[str, str] | None] = {}
 
     def term(self, context: str, ch: str) -> float:
@@ -149,22 +156,27 @@ class Model:
         return top
 
     def restore(self, word: str) -> str:
-        """Fill U+FFFD with the likeliest letters, if they beat all others by the margin."""
-        options = [(0.0, _EDGE * 2, None)]  # score so far, last two characters, (option before, character): a word may be long
+        """Fill U+FFFD with the likeliest letters, if they beat all others by half the margin: an exact search for the two best
+        spellings over the states of the model. Three lost letters on end leave no known neighbour in reach: such a word stays."""
+        if "���" in word:
+            return word
+        states: dict[str, list[tuple]] = {_EDGE * 2: [(0.0, None)]}  # last two characters -> two best of (score, (entry before, character))
         for ch in word:
-            options = [(o[0] + self.term(o[1], c), o[1][1] + c, (o, c)) for o in options for c in (self.letters if ch == "�" else [ch])]
-            if len(options) > 1:
-                options = sorted(options, key=lambda o: o[0] + self.term(o[1], _EDGE), reverse=True)[:40]
-
-        def spelled(option: tuple) -> str:
-            out = []
-            while option[2]:
-                option, c = option[2]
-                out.append(c)
-            return "".join(reversed(out))
-
-        ranked = sorted(((o[0] + self.term(o[1], _EDGE), spelled(o)) for o in options), reverse=True)
-        return ranked[0][1] if len(ranked) == 1 or ranked[0][0] - ranked[1][0] > self.margin / 2 else word
+            following: dict[str, list[tuple]] = {}
+            for last, entries in states.items():
+                for c in self.letters if ch == "�" else ch:
+                    gain = self.term(last, c)
+                    following.setdefault(last[1] + c, []).extend((e[0] + gain, (e, c)) for e in entries)
+            states = {k: v if len(v) < 3 else nlargest(2, v, key=lambda e: e[0]) for k, v in following.items()}
+        ends = nlargest(2, [(e[0] + self.term(last, _EDGE), e[1]) for last, entries in states.items() for e in entries], key=lambda e: e[0])
+        if not ends or (len(ends) > 1 and ends[0][0] - ends[1][0] <= self.margin / 2):
+            return word
+        out, step = [], ends[0][1]
+        while step:
+            entry, c = step
+            out.append(c)
+            step = entry[1]
+        return "".join(reversed(out))
 
     def decide(self, word: str) -> tuple[str, str] | None:
         """(chain, restored word), or None for a word that stands as it should."""
@@ -215,25 +227,39 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w, n in zip(pdf.word, pdf.n):
             for context, ch in _grams(w):
                 counts[context + ch] += int(n)
-        yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
+        levels: Counter = Counter({("3", gram): n for gram, n in counts.items()})
+        for gram, n in counts.items():
+            for key in _levels(gram):
+                levels[key] += n
+        yield pd.DataFrame([(level, part, n) for (level, part), n in levels.items()], columns=["level", "part", "n"])
 
 
-def train(field_words: DataFrame) -> Model:
-    """The model with its validated margin; field_words has columns field_name and words."""
-    spark = field_words.sparkSession
+def trained(field_words: DataFrame, held_out: int = 0) -> tuple[Model, DataFrame]:
+    """(the model with its validated margin, clean words with counts); field_words has columns field_name and words.
+
+    held_out: one word in so many (by hash) is no part of the training; 0: all are."""
     clean = cut(field_words.mapInPandas(skip_empty(_clean_counts), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    model = _fit(clean)
+    own = clean.where(F.pmod(F.xxhash64("word"), F.lit(held_out)) != 0) if held_out else clean
+    model = _fit(own)
     for _ in range(PURGES):  # words that the first model would change are no clean words: fit again without them
-        clean = _weighed(clean, model).where(F.col("gain") <= FLOOR).select("word", "n")
-        model = _fit(clean)
-    at = _weighed(clean, model).agg(F.expr(f"percentile_approx(gain, {QUANTILE}, 10000)").alias("q")).first().q
+        own = _weighed(own, model).where(F.col("gain") <= FLOOR).select("word", "n")
+        model = _fit(own)
+    at = _weighed(own, model).agg(F.expr(f"percentile_approx(gain, {QUANTILE}, 10000)").alias("q")).first().q
     model.margin = min(max(FLOOR, at if at is not None else FLOOR), CEILING)
-    return model
+    return model, clean
+
+
+def train(field_words: DataFrame) -> Model:
+    return trained(field_words)[0]
 
 
 def _fit(words: DataFrame) -> Model:
-    grams = words.mapInPandas(skip_empty(_gram_counts), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return Model({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).collect()})
+    grams = cut(words.mapInPandas(skip_empty(_gram_counts), "level string, part string, n bigint").groupBy("level", "part").agg(F.sum("n").alias("n")))
+    total = grams.where(F.col("level") == "3").agg(F.sum("n")).first()[0] or 0
+    levels: dict[str, dict[str, int]] = {"3": {}, "2": {}, "b": {}, "m": {}, "1": {}}
+    for r in grams.where(F.col("n") >= GRAM_SHARE * total).collect():  # at most 1 / GRAM_SHARE rows a level
+        levels[r.level][r.part] = r.n
+    return Model(levels.pop("3"), levels)
 
 
 def _weighed(words: DataFrame, model: Model) -> DataFrame:
@@ -294,6 +320,42 @@ def repaired(df: DataFrame) -> DataFrame:
     return df.select("file_id", "raw_text", "pdf_metadata").mapInPandas(skip_empty(fix), "file_id string, raw_text string, pdf_metadata map<string,string>, repaired_words bigint")
 
 
+def garblings(word: str) -> dict[str, str]:
+    """Chain name -> how the word looks after that mistake, for every chain that can befall it; and with its first letter beyond ASCII lost."""
+    out: dict[str, str] = {}
+    for name, right, wrong in [(f"utf-8 as {enc}", "utf-8", enc) for enc in UTF8_READ_AS] + [(f"{right} as {wrong}", right, wrong) for wrong, right in SINGLE_BYTE]:
+        try:
+            garbled_word = word.encode(right).decode(wrong)
+        except UnicodeError:
+            continue
+        if garbled_word != word and _WORDS.fullmatch(garbled_word):
+            out[name] = garbled_word
+    out["lost characters"] = re.sub(r"[^\x00-\x7f]", "�", word, count=1)
+    return out
+
+
+def accuracy(df: DataFrame) -> DataFrame:
+    """chain, n_words, n_noticed, n_restored: clean words that the model has not seen, garbled by every chain and given to it. df as the table corpus."""
+    ship(df.sparkSession)
+    model, clean = trained(_field_words(df), held_out=5)
+    held = checked_broadcast(df.sparkSession, model)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: Counter = Counter()
+            for word in pdf.word:
+                for chain, wrong in garblings(word).items():
+                    found = held.value.decide(wrong)
+                    seen[(chain, "words")] += 1
+                    seen[(chain, "noticed")] += found is not None
+                    seen[(chain, "restored")] += found is not None and found[1] == word
+            yield pd.DataFrame([(c, what, n) for (c, what), n in seen.items()], columns=["chain", "what", "n"])
+
+    fresh = clean.where(F.pmod(F.xxhash64("word"), F.lit(5)) == 0)
+    counts = fresh.mapInPandas(skip_empty(measure), "chain string, what string, n bigint")
+    return counts.groupBy("chain").agg(*[F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(f"n_{w}") for w in ("words", "noticed", "restored")])
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "corpus").select("file_id", "raw_text", "pdf_metadata"))
 
@@ -312,4 +374,9 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(_corpus(spark, sf_dir).dropDuplicates(["file_id"]))
 
 
-QUERIES = {"p2_found": p2_found, "p2_chains": p2_chains, "p2_repaired": p2_repaired}
+def p2_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many held-out clean words of the corpus are noticed and restored after each kind of mistake."""
+    return accuracy(_corpus(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_chains": p2_chains, "p2_repaired": p2_repaired, "p2_accuracy": p2_accuracy}
