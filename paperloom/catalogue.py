@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extra, reference, timestamps
+from .plans import extra, fields, oracles, reference, timestamps
 from .plans.runner import oracle, query
 
 FLAGSHIP = extra.quality_routes
@@ -10,6 +10,7 @@ FLAGSHIP = extra.quality_routes
 
 def queries() -> dict:
     out = {name: query(build) for name, build in reference.BUILD.items()}
+    out.update(fields.QUERIES)
     out.update(extra.QUERIES)
     out.update(timestamps.QUERIES)
     return out
@@ -17,5 +18,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     out = {name: oracle(build) for name, build in reference.BUILD.items()}
+    out.update(oracles.SQL)
     out.update(extra.oracles())
     return out

@@ -1,19 +1,10 @@
-"""Field extraction from texts and embedded metadata, as SQL expressions of one row; no operator here shuffles.
-
-Common rule: candidates in a fixed order, the highest confidence wins, the first of equals. Each builder takes the dialect and the
-names of the columns and returns an expression of struct(value, confidence, source, method); value is null if nothing was found.
-"""
+"""Scalars of field values as SQL expressions of one row. Each builder takes the dialect and the names of the columns."""
 
 from __future__ import annotations
 
-import re
-
 from . import rules as R
 from .dialect import Spark
 
-WORD_BEFORE, WORD_AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
-
-
 def trimmed(d: Spark, x: str) -> str:
     return d.replace(x, r"^\s+|\s+$")
 
@@ -22,31 +13,11 @@ def blank(d: Spark, x: str) -> str:
     return f"({x} IS NULL OR NOT {d.like(x, r'[^ \t\n\r\f\v]')})"
 
 
-def candidate(d: Spark, order: int, confidence: str, value: str, source: str, method: str) -> str:
-    """A candidate; order breaks ties. Each value is written once: best_of drops the empty ones."""
-    return d.struct(c=f"CAST({confidence} AS DOUBLE)", o=f"-{order}", v=f"coalesce({value}, '')", s=d.text(source), m=d.text(method))
-
-
-def best_of(d: Spark, candidates: list[str]) -> str:
-    """The best candidate with a value; one of confidence -1 if there is none."""
-    none = d.struct(c="CAST(-1 AS DOUBLE)", o="-99", v="''", s="''", m="''")
-    kept = d.filter(d.array(*candidates), "x.v <> ''")
-    return f"coalesce({d.best(kept)}, {none})"
-
-
 def any_of(d: Spark, x: str, words: list[str]) -> str:
     """Whether x holds one of the words, in one pass over x."""
     return d.like(x, "|".join(w.replace(".", r"\.") for w in words))
 
 
-def unpack(alias: str, source: str = "heuristic", nothing: str = "none_found") -> str:
-    """Columns value, confidence, source, method of a best candidate in column alias."""
-    return (
-        f"CASE WHEN {alias}.c >= 0 THEN {alias}.v END AS value, CASE WHEN {alias}.c >= 0 THEN round({alias}.c, 6) ELSE CAST(0 AS DOUBLE) END AS confidence, "
-        f"CASE WHEN {alias}.c >= 0 THEN {alias}.s ELSE '{source}' END AS source, CASE WHEN {alias}.c >= 0 THEN {alias}.m ELSE '{nothing}' END AS method"
-    )
-
-
 def pdf_day(d: Spark, x: str) -> str:
     """Date text (YYYY-MM-DD) of an embedded date; four to seven characters give the first of January. Free text gives null."""
     cleaned = d.replace(d.replace(trimmed(d, x), r"^D:"), r"(?s)[+\-Z].*$")
@@ -56,26 +27,6 @@ def pdf_day(d: Spark, x: str) -> str:
     return f"CASE WHEN length({cleaned}) >= 8 AND {digits} THEN {d.day(full)} WHEN length({cleaned}) BETWEEN 4 AND 7 AND {d.like(f'left({cleaned}, 4)', '^[0-9]{4}$')} THEN {d.day(year)} END"
 
 
-def date_candidates(d: Spark, text: str, meta: str) -> list[str]:
-    out = [candidate(d, i, "0.60", pdf_day(d, d.key(meta, key)), "metadata", f"pdf_{key}") for i, key in enumerate(R.DATE_KEYS)]
-    window = f"left(coalesce({text}, ''), {R.DATE_CHARS})"
-    low, high = R.DATE_YEARS
-    for i, (name, confidence, pattern) in enumerate(R.DATE_FORMS, len(out)):
-        found = d.extract_all(window, "(?i)" + pattern, 0)
-        tidy = d.title_case("lower(" + d.replace("x", r"[-,\s]+", " ") + ")")
-        value = {
-            "iso": d.date("x", "iso"), "us": d.date("x", "us"), "eu": d.date("x", "eu"), "written_full": d.date(tidy, "B d Y"), "month_year": d.date(f"'1 ' || {tidy}", "d B Y"),
-            "abbrev_dmy": d.date(tidy, "d b Y"), "abbrev_my": d.date(f"'1 ' || {tidy}", "d b Y"), "year_only": None,
-        }[name]
-        if value is None:
-            first = d.first(d.filter(found, f"CAST(x AS INT) BETWEEN {low} AND {high}"))
-        else:
-            days = d.filter(d.transform(found, value), f"x IS NOT NULL AND {d.year('x')} BETWEEN {low} AND {high}")
-            first = d.day(d.first(days))
-        out.append(candidate(d, i, str(confidence), first, "heuristic", f"regex:{name}"))
-    return out
-
-
 def year_of(d: Spark, x: str) -> str:
     return f"nullif({d.extract(x, r'\b((?:19|20)\d{2})\b')}, '')"
 
@@ -91,59 +42,11 @@ def garbage_author(d: Spark, x: str) -> str:
     return f"(length({low}) < 3 OR length({low}) > 100 OR CAST({letters} AS DOUBLE) / greatest(length({low}), 1) < 0.7 OR {words})"
 
 
-def author_candidates(d: Spark, text: str, meta: str) -> list[str]:
-    out = []
-    for i, key in enumerate(("author", "Author")):
-        v = d.key(meta, key)
-        out.append(candidate(d, i, "0.70", f"CASE WHEN length({v}) > 2 AND NOT {garbage_author(d, v)} THEN {normal_author(d, v)} END", "metadata", "pdf_info_author"))
-    window = f"left(coalesce({text}, ''), {R.AUTHOR_CHARS})"
-    for i, (confidence, pattern) in enumerate(R.AUTHOR_FORMS, 2):
-        names = d.transform(d.extract_all(window, pattern, 1), normal_author(d, "x"))
-        kept = d.filter(names, f"length(x) > 3 AND length(x) < 100 AND NOT {garbage_author(d, 'x')}")
-        out.append(candidate(d, i, str(confidence), d.first(kept), "heuristic", f"regex:author_{i - 2}"))
-    return out
-
-
 def author_last(d: Spark, x: str) -> str:
     plain = d.replace(trimmed(d, x), r"(?i)\s+et\s+al\.?$")
     return f"CASE WHEN {d.contains(plain, ',')} THEN {trimmed(d, d.first(d.split(plain, ',')))} ELSE {d.last(d.split(d.replace(plain, r'\s+', ' '), ' '))} END"
 
 
-def identifier_candidates(d: Spark, text: str, meta: str) -> list[str]:
-    out = []
-    for i, key in enumerate(("subject", "Subject", "keywords", "Keywords")):
-        v = trimmed(d, d.key(meta, key))
-        out.append(candidate(d, i, str(R.IDENTIFIER_META_CONFIDENCE), f"CASE WHEN {d.like(v, R.IDENTIFIER_META)} THEN {v} END", "metadata", f"pdf_{key}"))
-    window = f"left(coalesce({text}, ''), {R.IDENTIFIER_CHARS})"
-    for i, (name, confidence, pattern) in enumerate(R.IDENTIFIER_FORMS, 4):
-        out.append(candidate(d, i, str(confidence), trimmed(d, d.extract(window, "(?i)" + pattern)), "heuristic", f"regex:{name}"))
-    return out
-
-
-def organisation_candidates(d: Spark, text: str, meta: str, low: str = "") -> list[str]:
-    """In-row literals, no join; the first of equals is the first name of the table in the first source. low: a column of the lower-case window, if there is one."""
-    out = []
-    sources = [(f"lower(coalesce({d.key(meta, key)}, ''))", R.ORG_META, "metadata") for key in R.ORG_KEYS] + [(low or organisation_window(text), R.ORG_TEXT, "heuristic")]
-    order = 0
-    for x, confidence, source in sources:
-        for long in (True, False):
-            branches = []
-            for name, short in R.ORGANISATIONS:
-                if (len(name) > 3) == long:
-                    hit = d.contains(x, name) if long else d.like(x, WORD_BEFORE + name + WORD_AFTER)
-                    branches.append(f"WHEN {hit} THEN {d.text(short)}")
-            names = [n for n, _ in R.ORGANISATIONS if (len(n) > 3) == long]
-            guard = any_of(d, x, names) if long else d.like(x, WORD_BEFORE + "(?:" + "|".join(names) + ")" + WORD_AFTER)
-            value = f"CASE WHEN NOT {guard} THEN NULL " + " ".join(branches) + " END"
-            out.append(candidate(d, order, str(confidence if long else confidence * R.ORG_SHORT), value, source, "org_match"))
-            order += 1
-    return out
-
-
-def organisation_window(text: str) -> str:
-    return f"lower(left(coalesce({text}, ''), {R.ORG_CHARS}))"
-
-
 def garbage_title(d: Spark, x: str, patterns: list[str] | None = None) -> str:
     low = f"lower({trimmed(d, x)})"
     return d.like(low, "|".join(patterns or R.GARBAGE_TITLE))
@@ -152,83 +55,3 @@ def garbage_title(d: Spark, x: str, patterns: list[str] | None = None) -> str:
 def boilerplate(d: Spark, x: str) -> str:
     low = f"lower({trimmed(d, x)})"
     return f"({any_of(d, low, R.BOILERPLATE)} OR length({low}) < 5)"
-
-
-def title_candidates(d: Spark, text: str, meta: str) -> list[str]:
-    v = d.key(meta, "title")
-    out = [candidate(d, 0, "0.65", f"CASE WHEN length({v}) > 5 AND NOT {garbage_title(d, v)} THEN {trimmed(d, v)} END", "metadata", "pdf_info_title")]
-    window = f"left(coalesce({text}, ''), 3000)"
-    for i, (confidence, pattern) in enumerate(R.TITLE_LABELS, 1):
-        t = trimmed(d, d.extract(window, pattern))
-        out.append(candidate(d, i, str(confidence), f"CASE WHEN NOT {boilerplate(d, t)} THEN {t} END", "heuristic", "regex:title_label"))
-    lines = d.transform(d.slice(d.split(trimmed(d, f"coalesce({text}, '')"), "\n"), 20), trimmed(d, "x"))
-    kept = d.filter(lines, f"length(x) > 10 AND length(x) < 200 AND NOT {boilerplate(d, 'x')}")
-    out.append(candidate(d, 4, "0.35", d.first(kept), "heuristic", "first_significant_line"))
-    return out
-
-
-def signal_pattern(alternatives: str, open_end: bool) -> str:
-    return WORD_BEFORE + "(?:" + alternatives + ")" + ("" if open_end else WORD_AFTER)
-
-
-def literals(alternatives: str) -> list[str] | None:
-    """For each top-level alternative the longest text that any match of it holds; None if one has none of two letters."""
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(alternatives):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "|" and not depth:
-            parts.append(alternatives[start:i])
-            start = i + 1
-    out = []
-    for part in [*parts, alternatives[start:]]:
-        plain = part
-        while re.search(r"\([^()]*\)", plain):
-            plain = re.sub(r"\([^()]*\)[?*+]?", "\n", plain)  # groups say nothing certain
-        plain = re.sub(r"\[[^\]]*\][?*+]?|\\[a-zA-Z][?*+]?|\.[?*+]|\\\.\??", "\n", plain)
-        plain = re.sub(r".[?*]", "\n", plain)
-        longest = max(plain.split("\n"), key=len)
-        if len(longest) < 2:
-            return None
-        out.append(longest)
-    return out
-
-
-def signal_test(d: Spark, low: str, alternatives: str, open_end: bool) -> str:
-    """The pattern behind a cheap guard: a text that holds none of the literals is not searched."""
-    test = d.like(low, signal_pattern(alternatives, open_end))
-    found = literals(alternatives) if d.name == "spark" else None
-    if not found:
-        return test
-    return f"(({' OR '.join(d.contains(low, w) for w in dict.fromkeys(found))}) AND {test})"
-
-
-def type_scores(d: Spark, low: str, table: dict) -> str:
-    """Array of struct(score, order, type, most) of all types; low: lower-case text."""
-    rows = []
-    for i, (name, signals) in enumerate(table.items()):
-        score = " + ".join(f"CASE WHEN {signal_test(d, low, p, o)} THEN {w} ELSE 0 END" for p, w, o in signals)
-        rows.append(d.struct(score=f"({score})", o=f"-{i}", name=d.text(name), most=str(sum(w for _, w, _ in signals))))
-    return d.array(*rows)
-
-
-def type_columns(best: str, fallback: tuple[str, float], has_text: str) -> str:
-    """value and confidence of a best score; a missing text has confidence 0.1."""
-    return (
-        f"CASE WHEN {best}.score > 0 THEN {best}.name ELSE '{fallback[0]}' END AS value, "
-        f"CASE WHEN {best}.score > 0 THEN round(least(CAST({best}.score AS DOUBLE) / {best}.most * 0.85, 0.90), 6) WHEN {has_text} THEN CAST({fallback[1]} AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS confidence"
-    )
-
-
-def domain_of(d: Spark, x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} = '{t}' THEN '{dom}'" for t, dom in R.TYPE_DOMAIN.items()) + " ELSE 'general' END"
-
-
-def metadata_value(d: Spark, meta: str, field: str) -> tuple[str, float]:
-    """(expression, confidence) of the first stage's value of a field from embedded metadata."""
-    key = {"title": "title", "author": "author", "summary": "subject"}[field]
-    v = trimmed(d, d.key(meta, key))
-    if field == "title":
-        return f"CASE WHEN {v} <> '' AND NOT {garbage_title(d, v, R.GARBAGE_TITLE_META)} THEN {v} END", 0.60
-    if field == "author":
-        return f"CASE WHEN length({v}) > 2 THEN {v} END", 0.55
-    return f"nullif({v}, '')", 0.40

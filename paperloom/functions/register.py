@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..session import ship
-from . import pythonic, quality
+from . import fields, pythonic, quality
 
 
 @udtf(returnType=T.StructType([T.StructField("form", T.StringType()), T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType())]))
@@ -15,9 +15,9 @@ class DateCandidates:
     """One row per date form found in a text."""
 
     def eval(self, text: str):
-        for name, base, pattern in pythonic._FORMS:
+        for name, base, pattern in fields._FORMS:
             for m in pattern.finditer((text or "")[:5000]):
-                day = pythonic._day(name, m)
+                day = fields.day_of(name, m.group())
                 if day:
                     yield name, day.isoformat(), base
 
@@ -25,7 +25,7 @@ class DateCandidates:
 def register_functions(spark: SparkSession) -> list[str]:
     """Register the scalar functions and the table function date_candidates; returns their names."""
     ship(spark)
-    table = {"text_quality_signals": quality.quality_signals, "date_context": pythonic.date_context, "fuzzy_day": pythonic.fuzzy_day, "file_response": pythonic.file_response, "otsu": pythonic.otsu, "font_title": pythonic.font_title}
+    table = {"text_quality_signals": quality.quality_signals, "date_context": pythonic.date_context, "fuzzy_day": pythonic.fuzzy_day, "otsu": pythonic.otsu, "font_title": pythonic.font_title}
     for name, f in table.items():
         spark.udf.register(name, f)
     spark.udtf.register("date_candidates", DateCandidates)

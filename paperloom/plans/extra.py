@@ -44,31 +44,6 @@ def fuzzy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("strict_day", once(strict)).withColumn("day", F.coalesce("strict_day", pythonic.fuzzy_day("raw"))).drop("strict_day")
 
 
-def file_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML-3, over all model responses."""
-    ship(spark)
-    df = table(spark, sf_dir, "documents_state").where(F.col("vlm_raw_response").isNotNull()).select("file_id", "vlm_raw_response").distinct()
-    return df.select("file_id", pythonic.file_response("vlm_raw_response").alias("suggested_name"))
-
-
-def heuristic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX-22: title, author, date (with context), year, identifier, organisation and type of each file in one narrow pass."""
-    ship(spark)
-    df = spread(table(spark, sf_dir, "corpus").select("file_id", "raw_text", "pdf_metadata"))
-    parts = {"title": X.title_candidates, "author": X.author_candidates, "report_id": X.identifier_candidates, "organization": X.organisation_candidates}
-    df = df.withColumn("org_low", once(F.expr(X.organisation_window("raw_text"))))
-    for name, build in parts.items():
-        df = df.withColumn(f"b_{name}", once(F.expr(X.best_of(SPARK, build(SPARK, "raw_text", "pdf_metadata", *(["org_low"] if name == "organization" else []))))))
-    meta = F.expr(X.best_of(SPARK, X.date_candidates(SPARK, "CAST(NULL AS STRING)", "pdf_metadata")[: len(R.DATE_KEYS)]))
-    df = df.withColumns({"b_meta": once(meta)}).withColumn("b_text", pythonic.date_context("raw_text"))
-    day = F.when((F.col("b_meta.c") >= F.col("b_text.confidence")) & (F.col("b_meta.c") >= 0), F.col("b_meta.v")).otherwise(F.col("b_text.value"))
-    low = F.lower(F.left(F.coalesce("raw_text", F.lit("")), F.lit(R.SIGNAL_CHARS)))
-    df = df.withColumn("low", once(low)).withColumn("b_type", once(F.expr(SPARK.best(X.type_scores(SPARK, "low", R.GENERIC)))))
-    cols = [F.when(F.col(f"b_{n}.c") >= 0, F.col(f"b_{n}.v")).alias(n) for n in parts]
-    kind = F.when(F.col("b_type.score") > 0, F.col("b_type.name")).otherwise(F.lit(R.GENERIC_FALLBACK[0]))
-    return df.select("file_id", *cols, day.alias("date"), F.nullif(F.regexp_extract(day, r"\b((?:19|20)\d{2})\b", 1), F.lit("")).alias("year"), kind.alias("document_type"))
-
-
 def otsu_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR-3 on a histogram of word confidences of each file (256 bins)."""
     ship(spark)
@@ -95,7 +70,7 @@ def operations_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "text_quality": text_quality, "quality_routes": quality_routes, "date_context": date_context, "fuzzy_dates": fuzzy_dates, "file_responses": file_responses, "heuristic_fields": heuristic_fields,
+    "text_quality": text_quality, "quality_routes": quality_routes, "date_context": date_context, "fuzzy_dates": fuzzy_dates, 
     "otsu_thresholds": otsu_thresholds, "json_documents": json_documents, "operations_join": operations_join,
 }
 

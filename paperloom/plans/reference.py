@@ -15,42 +15,7 @@ def register(f):
     return f
 
 
-# --- extraction from corpus(file_id, raw_text, pdf_metadata) ----------------------------------------------------------
-def _best(d: Spark, candidates: list[str]) -> str:
-    best = X.best_of(d, candidates)
-    return f"WITH t AS (SELECT file_id, raw_text, pdf_metadata, {X.organisation_window('raw_text')} AS org_low FROM @corpus), b AS (SELECT file_id, {best} AS b FROM t) SELECT file_id, {X.unpack('b')} FROM b"
-
-
-@register
-def date_best(d):
-    """EX-1, EX-2, EX-3: the best date of text and embedded metadata, without context."""
-    return _best(d, X.date_candidates(d, "raw_text", "pdf_metadata"))
-
-
-@register
-def author_best(d):
-    """EX-5 to EX-8."""
-    return _best(d, X.author_candidates(d, "raw_text", "pdf_metadata"))
-
-
-@register
-def report_id_best(d):
-    """EX-10 to EX-12."""
-    return _best(d, X.identifier_candidates(d, "raw_text", "pdf_metadata"))
-
-
-@register
-def org_detect(d):
-    """EX-13."""
-    return _best(d, X.organisation_candidates(d, "raw_text", "pdf_metadata", "org_low"))
-
-
-@register
-def title_best(d):
-    """EX-15 to EX-18."""
-    return _best(d, X.title_candidates(d, "raw_text", "pdf_metadata"))
-
-
+# --- extraction: scalars of embedded metadata and of merged fields ---------------------------------------------------
 @register
 def title_boilerplate(d):
     """EX-18, EX-15: which embedded titles are boilerplate or made by software."""
@@ -78,37 +43,6 @@ def author_last_name(d):
     return f"SELECT file_id, {a} AS author, {X.normal_author(d, a)} AS normal, {X.author_last(d, a)} AS last_name, {X.garbage_author(d, a)} AS is_garbage FROM @documents_state WHERE {a} IS NOT NULL"
 
 
-@register
-def doctype_generic(d):
-    """EX-19."""
-    return f"""WITH t AS (SELECT file_id, raw_text, lower(left(coalesce(raw_text, ''), {R.SIGNAL_CHARS})) AS low FROM @corpus),
-b AS (SELECT file_id, raw_text, {d.best(X.type_scores(d, 'low', R.GENERIC))} AS b FROM t)
-SELECT file_id, {X.type_columns('b', R.GENERIC_FALLBACK, "coalesce(raw_text, '') <> ''")} FROM b"""
-
-
-@register
-def doctype_domain(d):
-    """EX-20: domain type, its domain, and the subdomain (organisation, else first part of the type)."""
-    org = X.best_of(d, X.organisation_candidates(d, "raw_text", "pdf_metadata", "org_low"))
-    return f"""WITH t AS (SELECT file_id, raw_text, pdf_metadata, lower(left(coalesce(raw_text, ''), {R.SIGNAL_CHARS})) AS low, {X.organisation_window('raw_text')} AS org_low FROM @corpus),
-b AS (SELECT file_id, raw_text, {org} AS org, {d.best(X.type_scores(d, 'low', R.DOMAIN))} AS b FROM t),
-v AS (SELECT file_id, org, b, {X.type_columns('b', R.DOMAIN_FALLBACK, "coalesce(raw_text, '') <> ''")} FROM b)
-SELECT file_id, value, confidence, {X.domain_of(d, 'value')} AS domain,
-CASE WHEN b.score <= 0 THEN '' WHEN org.c >= 0 THEN org.v ELSE {d.first(d.split('value', '_'))} END AS subdomain,
-CASE WHEN b.score <= 0 THEN CAST(0 AS DOUBLE) WHEN org.c >= 0 THEN round(org.c, 6) ELSE CAST(0.3 AS DOUBLE) END AS subdomain_confidence FROM v"""
-
-
-@register
-def metadata_fields(d):
-    """EX-21: the first stage's fields from embedded metadata, keywords parted by commas, ten at most."""
-    cols = []
-    for f in ("title", "author", "summary"):
-        e, c = X.metadata_value(d, "pdf_metadata", f)
-        cols.append(f"{e} AS {f}, CASE WHEN {e} IS NOT NULL THEN CAST({c} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {f}_confidence")
-    words = d.slice(d.filter(d.transform(d.split(f"coalesce({d.key('pdf_metadata', 'keywords')}, '')", ","), X.trimmed(d, "x")), "x <> ''"), 10)
-    return f"SELECT file_id, {', '.join(cols)}, {d.join(words, '|')} AS keywords, {d.size(words)} AS n_keywords FROM @corpus"
-
-
 @register
 def summary_quality_words(d):
     """TQ-2: words of three letters and how many of them are common words."""
@@ -239,94 +173,6 @@ def model_recommendation(d):
 
 
 # --- merging ------------------------------------------------------------------------------------------------------------
-def _normal(d: Spark, x: str) -> str:
-    return X.trimmed(d, d.replace(d.replace(f"lower({X.trimmed(d, x)})", r"[^\p{L}\p{N}_\s]"), r"\s+", " "))
-
-
-def _response_body(d: Spark) -> str:
-    """ML-1: the first brace block of a response with its trailing commas taken out."""
-    block = d.extract("coalesce(vlm_raw_response, '')", r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0)
-    return d.replace(d.replace(block, r",\s*\}", "}"), r",\s*\]", "]")
-
-
-def _response_value(d: Spark, body: str, key: str) -> str:
-    return X.trimmed(d, f"get_json_object({body}, '$.{key}')" if d.name == "spark" else f"(CASE WHEN json_valid({body}) THEN json_extract_string({body}, '$.{key}') END)")
-
-
-@register
-def vlm_parse(d):
-    """ML-1, ML-2: fields and confidences of model responses; broken responses give empty fields."""
-    cols = []
-    for k, c in R.RESPONSE_CONFIDENCE.items():
-        v = f"nullif({_response_value(d, 'body', k)}, '')"
-        cols.append(f"{v} AS {k}, CASE WHEN {v} IS NOT NULL THEN CAST({c} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {k}_confidence")
-    words = d.slice(d.filter(d.transform(d.split(f"coalesce({_response_value(d, 'body', 'keywords')}, '')", ","), X.trimmed(d, "x")), "x <> ''"), 10)
-    return f"SELECT file_id, {', '.join(cols)}, {X.year_of(d, _response_value(d, 'body', 'date'))} AS year, {d.join(words, '|')} AS keywords FROM (SELECT file_id, {_response_body(d)} AS body FROM @documents_state WHERE vlm_raw_response IS NOT NULL) t"
-
-
-def _sources(d: Spark) -> str:
-    """One row per file with the candidates of title, author, date, report_id and organization from metadata, model and text."""
-    fields = {"title": X.title_candidates, "author": X.author_candidates, "date": X.date_candidates, "report_id": X.identifier_candidates, "organization": X.organisation_candidates}
-    heur = ", ".join(f"{X.best_of(d, f(d, 'raw_text', 'pdf_metadata', *(['org_low'] if k == 'organization' else [])))} AS h_{k}" for k, f in fields.items())
-    meta_title, _ = X.metadata_value(d, "pdf_metadata", "title")
-    meta_author, _ = X.metadata_value(d, "pdf_metadata", "author")
-    meta_date = X.best_of(d, X.date_candidates(d, "CAST(NULL AS VARCHAR(1))", "pdf_metadata")[: len(R.DATE_KEYS)])
-    model = ", ".join(f"nullif({_response_value(d, 'body', k)}, '') AS v_{k}" for k in fields)
-    return f"""k AS (SELECT file_id, max(raw_text) AS raw_text, {'first(pdf_metadata)' if d.name == 'spark' else 'any_value(pdf_metadata)'} AS pdf_metadata FROM @corpus GROUP BY file_id),
-l AS (SELECT *, {X.organisation_window('raw_text')} AS org_low FROM k),
-h AS (SELECT file_id, {heur}, {meta_title} AS m_title, {meta_author} AS m_author, {meta_date} AS md FROM l),
-s AS (SELECT DISTINCT file_id, {_response_body(d)} AS body FROM @documents_state),
-m AS (SELECT file_id, {model} FROM s)"""
-
-
-@register
-def merge_fields(d):
-    """MG-1 to MG-3: of metadata, model and text candidates (in this order) the most confident; the two best agreeing raise it."""
-    fields = ["title", "author", "date", "report_id", "organization"]
-    model_conf = R.RESPONSE_CONFIDENCE
-    parts = []
-    for f in fields:
-        meta = {"title": ("m_title", "0.60"), "author": ("m_author", "0.55"), "date": ("CASE WHEN md.c >= 0 THEN md.v END", "0.60")}.get(f, ("CAST(NULL AS VARCHAR(1))", "0"))
-        cands = d.filter(d.array(
-            candidate3(d, 0, meta[1], meta[0], "metadata"), candidate3(d, 1, str(model_conf[f]), f"v_{f}", "vlm"), candidate3(d, 2, f"h_{f}.c", f"CASE WHEN h_{f}.c >= 0 THEN h_{f}.v END", "heuristic")
-        ), "x.v <> ''")
-        parts.append(d.struct(f=f"'{f}'", cands=cands))
-    none = d.struct(c="CAST(-1 AS DOUBLE)", o="-99", v="''", s="''", m="''")
-    top = f"coalesce({d.best('cands')}, {none})"
-    rest = f"coalesce({d.best(d.filter('cands', 'x.o <> one.o'))}, {none})"
-    each = f"SELECT file_id, explode({d.array(*parts)}) AS e FROM j" if d.name == "spark" else f"SELECT file_id, unnest({d.array(*parts)}) AS e FROM j"
-    return f"""WITH {_sources(d)},
-j AS (SELECT h.*, {', '.join('m.v_' + f for f in fields)} FROM h LEFT JOIN m ON h.file_id = m.file_id),
-u AS (SELECT file_id, e.f AS field, e.cands AS cands FROM ({each}) t),
-o AS (SELECT file_id, field, cands, {top} AS one FROM u),
-w AS (SELECT file_id, field, one, {rest} AS two FROM o)
-SELECT file_id, field, CASE WHEN one.c >= 0 THEN one.v END AS value,
-CASE WHEN one.c < 0 THEN CAST(0 AS DOUBLE) WHEN two.c >= 0 AND {_normal(d, 'one.v')} = {_normal(d, 'two.v')} AND {_normal(d, 'one.v')} <> '' THEN round(least(one.c + {R.AGREEMENT_BOOST}, {R.AGREEMENT_CAP}), 6) ELSE round(one.c, 6) END AS confidence,
-CASE WHEN one.c < 0 THEN 'none' WHEN two.c >= 0 AND {_normal(d, 'one.v')} = {_normal(d, 'two.v')} AND {_normal(d, 'one.v')} <> '' THEN one.s || '+cross_validated' ELSE one.s END AS source FROM w"""
-
-
-def candidate3(d: Spark, order: int, confidence: str, value: str, source: str) -> str:
-    return X.candidate(d, order, confidence, f"CASE WHEN NOT {X.blank(d, value)} THEN {value} END", source, "m")
-
-
-@register
-def keyword_merge(d):
-    """MG-5: keywords of model, then metadata; equal ones (ignoring case) once, most confident first, ten at most."""
-    model = d.filter(d.transform(d.split(f"coalesce({_response_value(d, 'body', 'keywords')}, '')", ","), X.trimmed(d, "x")), "x <> ''")
-    meta = d.filter(d.transform(d.split(f"coalesce({d.key('pdf_metadata', 'keywords')}, '')", ","), X.trimmed(d, "x")), "x <> ''")
-    explode = (lambda x: f"LATERAL VIEW posexplode({x}) e AS p, k") if d.name == "spark" else None
-    def rows(source: str, x: str, origin: int, conf: float) -> str:
-        if explode:
-            return f"SELECT file_id, {origin} AS o, CAST({conf} AS DOUBLE) AS c, p, k FROM {source} {explode(x)}"
-        return f"SELECT file_id, {origin} AS o, CAST({conf} AS DOUBLE) AS c, unnest(range(len({x}))) AS p, unnest({x}) AS k FROM {source}"
-    return f"""WITH s AS (SELECT DISTINCT file_id, {_response_body(d)} AS body FROM @documents_state WHERE vlm_raw_response IS NOT NULL),
-c AS (SELECT DISTINCT file_id, {d.key('pdf_metadata', 'keywords')} AS kw FROM @corpus),
-k AS ({rows('s', model, 0, R.RESPONSE_KEYWORD)} UNION ALL {rows('c', meta.replace(d.key('pdf_metadata', 'keywords'), 'kw'), 2, 0.5)}),
-f AS (SELECT *, row_number() OVER (PARTITION BY file_id, lower(k) ORDER BY o, p) AS seen FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY c DESC, o, p) AS place FROM f WHERE seen = 1)
-SELECT file_id, CAST(place AS INT) AS place, k AS keyword, c AS confidence FROM r WHERE place <= 10"""
-
-
 @register
 def filled_fields(d):
     """MG-6: filled fields of each record."""
@@ -334,16 +180,6 @@ def filled_fields(d):
     return f"SELECT file_id, {total} AS n_filled FROM @documents_state"
 
 
-@register
-def vlm_page_merge(d):
-    """ML-4: gaps of the first page's fields filled from the second (here: from embedded metadata) at nine tenths of its confidence."""
-    t, a = _response_value(d, "body", "title"), _response_value(d, "body", "author")
-    two = d.key("pdf_metadata", "title")
-    return f"""WITH s AS (SELECT DISTINCT file_id, {_response_body(d)} AS body FROM @documents_state WHERE vlm_raw_response IS NOT NULL), c AS (SELECT DISTINCT file_id, {two} AS two FROM @corpus)
-SELECT s.file_id, coalesce(nullif({t}, ''), nullif({X.trimmed(d, 'two')}, '')) AS title, CASE WHEN nullif({t}, '') IS NOT NULL THEN CAST(0.85 AS DOUBLE) WHEN nullif({X.trimmed(d, 'two')}, '') IS NOT NULL THEN round(0.85e0 * {R.PAGE_TWO_FACTOR}e0, 6) ELSE CAST(0 AS DOUBLE) END AS confidence,
-CASE WHEN nullif({t}, '') IS NULL AND nullif({X.trimmed(d, 'two')}, '') IS NOT NULL THEN 'vlm:page2' ELSE 'vlm' END AS method, nullif({a}, '') AS author FROM s LEFT JOIN c ON s.file_id = c.file_id"""
-
-
 @register
 def prompt_hints(d):
     """ML-6: the known metadata that a prompt carries, and the original file name."""
