@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from .plans import extra, fields, oracles, reference, timestamps
+from .plans import extra, fields, oracles, reference, state, timestamps
 from .plans.runner import oracle, query
 
 FLAGSHIP = extra.quality_routes
 
 
 def queries() -> dict:
-    out = {name: query(build) for name, build in reference.BUILD.items()}
+    out = {name: query(build, name in reference.HEAVY) for name, build in reference.BUILD.items()}
     out.update(fields.QUERIES)
     out.update(extra.QUERIES)
+    out.update(state.QUERIES)
     out.update(timestamps.QUERIES)
     return out
 
@@ -20,4 +21,6 @@ def oracle_sql() -> dict[str, str]:
     out = {name: oracle(build) for name, build in reference.BUILD.items()}
     out.update(oracles.SQL)
     out.update(extra.oracles())
+    out.update(state.SQL)
+    out.update(timestamps.SQL)
     return out

@@ -68,6 +68,10 @@ class Spark:
     def title_case(self, x: str) -> str:
         return f"initcap({x})"
 
+    def words_capital(self, x: str) -> str:
+        """A capital first letter of each word, the rest small."""
+        return f"initcap({x})"
+
     def day(self, x: str) -> str:
         return f"date_format({x}, 'yyyy-MM-dd')"
 
@@ -146,6 +150,9 @@ class Duck(Spark):
     def title_case(self, x: str) -> str:
         return x
 
+    def words_capital(self, x: str) -> str:
+        return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ')"
+
     def day(self, x: str) -> str:
         return f"strftime({x}, '%Y-%m-%d')"
 

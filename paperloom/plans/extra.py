@@ -58,7 +58,7 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .reference import BUILD
     from .runner import run
 
-    df = run(spark, sf_dir, BUILD["preview_report"])
+    df = run(spark, sf_dir, BUILD["export_csv_rows"])
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 

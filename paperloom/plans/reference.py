@@ -10,6 +10,10 @@ from ..functions.dialect import Spark
 BUILD: dict = {}
 
 
+#: Queries whose expressions are worth spreading texts that come in few splits.
+HEAVY = {"summary_quality_words", "dpi_decision", "file_identity"}
+
+
 def register(f):
     BUILD[f.__name__] = f
     return f
@@ -71,13 +75,6 @@ def path_filter_scan(d):
     return f"SELECT file_id, original_path FROM @corpus WHERE {d.like('original_path', r'\.pdf$')} AND NOT {d.like('original_path', r'(^|/)\.[^/]')}"
 
 
-@register
-def first_pages_text(d):
-    """SRC-8: the first five pages joined, blank ones left out; pages are parted by blank lines here."""
-    pages = d.filter(d.slice(d.split("coalesce(raw_text, '')", "\n\n"), 5), "x <> ''")
-    return f"SELECT file_id, {d.join(pages, chr(10))} AS head, {d.size(pages)} AS n_pages FROM @corpus"
-
-
 @register
 def dpi_decision(d):
     """SRC-9: resolution and pages to render by text density (base 200)."""
@@ -98,12 +95,6 @@ def exact_text_dedup(d):
     return f"SELECT {h} AS identity, min(doc_id) AS first_doc, count(*) AS n_copies FROM @documents WHERE text IS NOT NULL GROUP BY {h}"
 
 
-@register
-def register_new(d):
-    """DD-2: corpus files that the state does not hold yet."""
-    return "SELECT DISTINCT c.file_id, c.original_path, c.file_size_bytes FROM @corpus c LEFT ANTI JOIN (SELECT file_id FROM @documents_state WHERE status <> 'pending') s ON c.file_id = s.file_id".replace("LEFT ANTI", "LEFT ANTI" if d.name == "spark" else "ANTI")
-
-
 # --- routing and claims --------------------------------------------------------------------------------------------------
 def _route(q: str, model: bool, ocr: bool) -> str:
     low = "'vlm_only'" if model else "'ocr_heuristic'" if ocr else "'metadata_only'"
@@ -131,26 +122,6 @@ def claim_fast_top(d):
     return f"SELECT file_id, text_quality FROM @documents_state WHERE status = 'pending' AND text_quality >= {R.QUALITY_LOW} ORDER BY text_quality DESC, file_id LIMIT 1"
 
 
-@register
-def claim_model_top(d):
-    """RT-3."""
-    return f"SELECT file_id, file_size FROM @documents_state WHERE status = 'pending' AND text_quality < {R.QUALITY_LOW} ORDER BY file_size, file_id LIMIT 1"
-
-
-@register
-def fallback_queue(d):
-    """RT-4."""
-    return "SELECT file_id, original_path FROM @documents_state WHERE extraction_strategy = 'fallback_pending' AND status = 'pending'"
-
-
-@register
-def work_order(d):
-    """RT-5: fast documents by falling quality, then the others by size; the place within each job, so no single task numbers all."""
-    track = f"CASE WHEN text_quality >= {R.QUALITY_LOW} THEN 0 ELSE 1 END"
-    return f"""SELECT job_id, file_id, {track} AS track, CAST(row_number() OVER (PARTITION BY job_id ORDER BY {track}, CASE WHEN text_quality >= {R.QUALITY_LOW} THEN -text_quality ELSE file_size END, file_id) AS BIGINT) AS place
-FROM (SELECT DISTINCT job_id, file_id, text_quality, file_size FROM @documents_state WHERE status = 'pending' AND text_quality IS NOT NULL) t"""
-
-
 @register
 def dispatch_by_strategy(d):
     """RT-6: one branch of columns per strategy in one pass."""
@@ -160,16 +131,16 @@ CASE WHEN extraction_strategy IN ('vlm_only', 'metadata_only') THEN 0 ELSE 1 END
 
 @register
 def batch_config(d):
-    """SCH-1: workers, batch and memory of a grid of settings (literals)."""
-    grid = "(VALUES (4, 8, 0, true, 100, 32), (8, 16, 4, true, 50, 32), (2, 4, 0, false, 10, 32), (1, 2, 0, true, 5, 32), (16, 64, 8, false, 1000, 200)) AS g(cores, ram_gb, max_workers, model, total, batch)"
-    return f"""SELECT cores, ram_gb, max_workers, model, total, greatest(1, CASE WHEN max_workers > 0 THEN max_workers - v ELSE cores - 1 - v END) AS workers, least(batch, total) AS batch_size, CAST(floor(ram_gb * 1024 * 0.7) AS BIGINT) AS memory_mb
-FROM (SELECT *, CASE WHEN model THEN 1 ELSE 0 END AS v FROM {grid}) t"""
-
-
-@register
-def model_recommendation(d):
-    """SCH-4: model by memory."""
-    return "SELECT ram_gb, CASE WHEN ram_gb >= 10 THEN 'large' WHEN ram_gb >= 6 THEN 'medium' WHEN ram_gb >= 4 THEN 'small' ELSE 'none' END AS model FROM (VALUES (2), (4), (5), (6), (8), (10), (64)) AS m(ram_gb)"
+    """SCH-1, SCH-4: of every job and each of a few machines (literals), workers, batch, memory and the model that fits."""
+    cols = ["cores", "ram_gb", "fast_workers", "max_workers", "memory_mb", "model_workers"]
+    machines = [(4, 8, 0, 0, 0, 1), (8, 16, 0, 4, 0, 1), (2, 4, 0, 0, 2048, 0), (1, 2, 0, 0, 0, 1), (16, 64, 6, 0, 0, 1)]
+    grid = d.array(*(d.struct(**dict(zip(cols, map(str, m)))) for m in machines))
+    each = f"explode({grid})" if d.name == "spark" else f"unnest({grid})"
+    g = {c: f"g.{c}" for c in cols}
+    workers = f"CASE WHEN {g['fast_workers']} > 0 THEN {g['fast_workers']} WHEN {g['max_workers']} > 0 THEN greatest(1, {g['max_workers']} - {g['model_workers']}) ELSE greatest(1, greatest(1, {g['cores']} - 1) - {g['model_workers']}) END"
+    memory = f"CASE WHEN {g['memory_mb']} > 0 THEN {g['memory_mb']} ELSE CAST(floor({g['ram_gb']} * 1024 * 0.7) AS INT) END"
+    model = f"CASE WHEN {g['ram_gb']} >= 10 THEN 'large' WHEN {g['ram_gb']} >= 6 THEN 'medium' WHEN {g['ram_gb']} >= 4 THEN 'small' ELSE 'none' END"
+    return f"SELECT job_id, {g['cores']} AS cores, {g['ram_gb']} AS ram_gb, {workers} AS fast_workers, {workers} + {g['model_workers']} AS workers, least(100, coalesce(total_files, 0)) AS batch_size, {memory} AS memory_mb, {model} AS model FROM (SELECT job_id, total_files, {each} AS g FROM @jobs) t"
 
 
 # --- merging ------------------------------------------------------------------------------------------------------------
@@ -207,12 +178,23 @@ def ocr_confidence(d):
 
 
 # --- names and folders --------------------------------------------------------------------------------------------------
-def _names(d: Spark) -> str:
-    v = ", ".join(f"{e} AS v_{k}" for k, e in N.variables(d).items())
+def _names(d: Spark, template: str = R.CONFIG_TEMPLATE, separator: str = "_", length: int = R.NAME_LENGTH, lower: bool = True, accents: bool = False) -> str:
+    v = ", ".join(f"{e} AS v_{k}" for k, e in N.variables(d, separator).items())
     return f"""v AS (SELECT DISTINCT file_id, original_path, target_dir, merged.maritime_document_type.value AS dtype, {v} FROM @documents_state),
-f AS (SELECT file_id, original_path, target_dir, {N.raw_name(d)} AS filled, {d.replace(d.last(d.split('original_path', '/')), r'(?i)\.pdf$')} AS stem FROM v),
-g AS (SELECT *, CASE WHEN {X.trimmed(d, d.replace('filled', '_', ''))} <> '' THEN filled WHEN coalesce(stem, '') <> '' THEN stem ELSE left(file_id, 12) END AS raw FROM f),
-n AS (SELECT file_id, original_path, target_dir, {N.sanitised(d, 'raw')} || '.pdf' AS canonical FROM g)"""
+f AS (SELECT file_id, original_path, target_dir, {N.raw_name(d, template, separator)} AS filled, {d.replace(d.last(d.split('original_path', '/')), r'(?i)\.pdf$')} AS stem FROM v),
+g AS (SELECT *, CASE WHEN {X.trimmed(d, d.swap('filled', separator, ''))} <> '' THEN filled WHEN coalesce(stem, '') <> '' THEN stem ELSE left(file_id, 12) END AS raw FROM f),
+n AS (SELECT file_id, original_path, target_dir, {N.sanitised(d, 'raw', length, lower, separator, accents)} || '.pdf' AS canonical FROM g)"""
+
+
+def names_with(template: str, separator: str = "_", max_length: int = 80, lowercase: bool = True, strip_accents: bool = True):
+    """NM-3, NM-6: the builder of canonical names by another template, separator, length or letters."""
+    return lambda d: f"WITH {_names(d, template, separator, max_length - 4, lowercase, not strip_accents)} SELECT file_id, canonical FROM n"
+
+
+@register
+def custom_names(d):
+    """NM-3, NM-6: names by a template of one's own, hyphens and at most forty characters."""
+    return names_with("{year} {org} no {report_id} - {title_full}{nothing}", "-", 40)(d)
 
 
 @register
@@ -368,16 +350,39 @@ def preview_report(d):
     return _preview(d)
 
 
+def _export(d: Spark) -> str:
+    """RP-1: the eleven columns that are exported."""
+    return f"""SELECT DISTINCT {d.last(d.split('original_path', '/'))} AS original_file, original_path AS original_location, coalesce(canonical_name, '') AS renamed_file, coalesce(target_dir, '') AS moved_to_location, {N.value('maritime_document_type')} AS document_type,
+{N.value('organization')} AS organization, {N.value('author')} AS author, {N.value('date')} AS date, {_mean_confidence(d)} AS confidence, {_label()} AS extraction_method, status FROM @documents_state WHERE status = 'complete'"""
+
+
+def export_label(d: Spark, x: str) -> str:
+    """RP-3, export variant: the type with blanks and capitals; empty ones are Other."""
+    return f"CASE WHEN coalesce({x}, '') = '' THEN 'Other' ELSE {d.words_capital(d.swap(x, '_', ' '))} END"
+
+
 @register
 def export_csv_rows(d):
     """SNK-1: the relation that the CSV sink writes."""
-    return f"SELECT * FROM ({_preview(d)}) t ORDER BY canonical_name, original_path"
+    return f"SELECT * FROM ({_export(d)}) t ORDER BY renamed_file, original_location"
+
+
+@register
+def export_label_rows(d):
+    """RP-3, SNK-3: the relation with type labels that the sheet shows."""
+    return f"SELECT original_file, original_location, renamed_file, moved_to_location, {export_label(d, 'document_type')} AS document_type, organization, author, date, confidence, extraction_method, status FROM ({_export(d)}) t"
+
+
+@register
+def export_summary(d):
+    """AG-5, SNK-3: the sheet's summary: documents and mean of positive confidences by method, and of all (method null)."""
+    return f"SELECT extraction_method AS method, count(*) AS n, round(coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0), 3) AS mean_confidence FROM ({_export(d)}) t GROUP BY ROLLUP (extraction_method)"
 
 
 @register
 def markdown_top20(d):
     """SNK-4, LM-1: the report's first twenty rows, cut to its column widths (the top-k is the feature)."""
-    return f"SELECT left(original_name, 30) AS original_name, left(canonical_name, 35) AS canonical_name, left(document_type, 20) AS document_type FROM ({_preview(d)}) t ORDER BY t.canonical_name, t.original_path LIMIT 20"
+    return f"SELECT left(original_file, 30) AS original_file, left(renamed_file, 35) AS renamed_file, left({export_label(d, 'document_type')}, 20) AS document_type FROM ({_export(d)}) t ORDER BY t.renamed_file, t.original_location LIMIT 20"
 
 
 @register
@@ -397,15 +402,19 @@ def rename_folders(d):
 
 
 @register
-def plan_summary(d):
-    """OP-2."""
-    return f"SELECT (SELECT count(DISTINCT file_id) FROM @documents_state WHERE status = 'complete') AS total, count(*) AS operations FROM ({rename_plan(d)}) p"
+def rename_operations(d):
+    """OP-1: all operations in order of kind: folders to make, once each, where no file lies in them yet, then the moves."""
+    target = d.replace("target_path", r"/[^/]*$")
+    held = f"SELECT DISTINCT {d.replace('original_path', r'/[^/]*$')} AS folder FROM @documents_state WHERE original_path IS NOT NULL"
+    return f"""WITH p AS ({rename_plan(d)}), m AS (SELECT DISTINCT {target} AS folder FROM p)
+SELECT 0 AS step, '' AS file_id, 'mkdir' AS operation, '' AS source_path, m.folder AS target_path FROM m {'LEFT ANTI' if d.name == 'spark' else 'ANTI'} JOIN ({held}) h ON m.folder = h.folder
+UNION ALL SELECT 1 AS step, file_id, operation, source_path, target_path FROM p"""
 
 
 @register
-def rollback_plan(d):
-    """OP-5: executed operations undone in reverse, numbered within each job."""
-    return "SELECT job_id, op_id, target_path AS source_path, source_path AS target_path, CAST(row_number() OVER (PARTITION BY job_id ORDER BY op_id DESC) AS BIGINT) AS place FROM (SELECT DISTINCT job_id, op_id, source_path, target_path FROM @operations WHERE executed = 1) t"
+def plan_summary(d):
+    """OP-2: a dry run: completed files, operations, files left as they are, errors."""
+    return f"SELECT (SELECT count(DISTINCT file_id) FROM @documents_state WHERE status = 'complete') AS total, count(*) AS operations, (SELECT count(DISTINCT file_id) FROM @documents_state WHERE status = 'complete') - sum(step) AS skipped, 0 AS errors, true AS dry_run FROM ({rename_operations(d)}) p"
 
 
 @register
@@ -440,6 +449,12 @@ def stage_metrics(d):
     return "SELECT current_stage AS stage, extraction_strategy AS method, count(*) AS n, round(avg(CAST(processing_ms AS DOUBLE)), 6) AS mean_ms, max(processing_ms) AS max_ms FROM @documents_state GROUP BY current_stage, extraction_strategy"
 
 
+@register
+def metrics_log(d):
+    """MT-1: the rows that stages write to the log of metrics."""
+    return "SELECT DISTINCT file_id, current_stage AS stage, processing_ms AS duration_ms, coalesce(extraction_strategy, 'none') AS method FROM @documents_state WHERE processing_ms IS NOT NULL"
+
+
 @register
 def type_domain_join(d):
     """J-2: type to domain by a small dimension, as a join (45 fixed rows)."""

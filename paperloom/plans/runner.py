@@ -18,9 +18,9 @@ Build = Callable[[Spark], str]
 SPREAD = {"corpus", "documents"}
 
 
-def run(spark: SparkSession, sf_dir: str, build: Build) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, build: Build, heavy: bool = False) -> DataFrame:
+    """heavy: the query does much work on each text."""
     text = build(SPARK)
-    heavy = len(text) > 3000  # many expressions a row
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     for name in set(re.findall(r"@(\w+)", text)):
         df = table(spark, sf_dir, name)
@@ -28,9 +28,9 @@ def run(spark: SparkSession, sf_dir: str, build: Build) -> DataFrame:
     return spark.sql(re.sub(r"@(\w+)", rf"\1_{tag}", text))
 
 
-def query(build: Build) -> Callable[[SparkSession, str], DataFrame]:
+def query(build: Build, heavy: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark, sf_dir, build)
+        return run(spark, sf_dir, build, heavy)
 
     call.__doc__ = build.__doc__
     return call
