@@ -62,6 +62,20 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1 to SRC-6, DD-1: the tables' own files, scanned as a folder: name, identity by content, size."""
+    from ..sources.scan import scan
+
+    return scan(spark, sf_dir, ("*.parquet",)).select(F.element_at(F.split("original_path", "/"), -1).alias("name"), "file_id", "file_size_bytes")
+
+
+def scan_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2: one file, whatever its size."""
+    from ..sources.scan import scan
+
+    return scan(spark, f"{sf_dir}/region.parquet", ("*.parquet",), bounds=(1 << 30, 1 << 31)).select("file_id", "file_size_bytes")
+
+
 def operations_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-1: state and operations on file_id, both sides aggregated first."""
     ops = table(spark, sf_dir, "operations").where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.count("*").alias("n_operations"), F.sum((F.col("executed") == 1).cast("int")).alias("n_executed"))
@@ -71,13 +85,25 @@ def operations_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "text_quality": text_quality, "quality_routes": quality_routes, "date_context": date_context, "fuzzy_dates": fuzzy_dates, 
-    "otsu_thresholds": otsu_thresholds, "json_documents": json_documents, "operations_join": operations_join,
+    "otsu_thresholds": otsu_thresholds, "json_documents": json_documents, "operations_join": operations_join, "scan_files": scan_files, "scan_one_file": scan_one_file,
 }
 
 
+_OTSU = """WITH h AS (SELECT file_id, CAST(floor(conf * 255 / 100) AS INT) AS bin, count(*) AS n FROM ocr_word WHERE conf >= 0 GROUP BY ALL),
+g AS (SELECT f.file_id, t.bin, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT file_id FROM h) f CROSS JOIN (SELECT unnest(range(256)) AS bin) t LEFT JOIN h ON f.file_id = h.file_id AND t.bin = h.bin),
+c AS (SELECT file_id, bin, sum(n) OVER w AS below, sum(n * bin) OVER w AS weighed, sum(n) OVER (PARTITION BY file_id) AS total, sum(n * bin) OVER (PARTITION BY file_id) AS whole FROM g WINDOW w AS (PARTITION BY file_id ORDER BY bin)),
+s AS (SELECT file_id, bin, below * (total - below) * pow(CAST(weighed AS DOUBLE) / below - CAST(whole - weighed AS DOUBLE) / (total - below), 2) AS spread FROM c WHERE below > 0 AND below < total)
+SELECT f.file_id, CAST(coalesce(b.bin, 0) AS INT) AS threshold FROM (SELECT DISTINCT file_id FROM h) f LEFT JOIN (SELECT file_id, bin FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY round(spread, 6) DESC, bin) AS rn FROM s) r WHERE rn = 1) b ON f.file_id = b.file_id"""
+
+_FILES = "SELECT parse_filename(filename) AS name, sha256(content[1:65536] || CAST(CAST(size AS VARCHAR) AS BLOB)) AS file_id, size AS file_size_bytes FROM read_blob('/root/testdata/sf0.01/{}.parquet')"
+
+
 def oracles() -> dict[str, str]:
     q = quality.oracle_sql()
     return {
+        "otsu_thresholds": _OTSU,
+        "scan_files": _FILES.format("*"),
+        "scan_one_file": f"SELECT file_id, file_size_bytes FROM ({_FILES.format('region')}) t",
         "text_quality": q,
         "quality_routes": f"SELECT lang, strategy, count(*) AS n, round(avg(text_quality), 5) AS mean_quality FROM (SELECT d.lang, q.text_quality, CASE WHEN q.text_quality >= {R.QUALITY_HIGH} THEN 'text_heuristic' WHEN q.text_quality >= {R.QUALITY_LOW} THEN 'vlm_plus_heuristic' ELSE 'vlm_only' END AS strategy FROM ({q}) q JOIN documents d ON d.doc_id = q.doc_id) t GROUP BY lang, strategy",
         "operations_join": "SELECT s.file_id, s.status, coalesce(o.n, 0) AS n_operations, CAST(coalesce(o.e, 0) AS BIGINT) AS n_executed FROM (SELECT file_id, max(status) AS status FROM documents_state GROUP BY file_id) s LEFT JOIN (SELECT file_id, count(*) AS n, sum(CASE WHEN executed = 1 THEN 1 ELSE 0 END) AS e FROM operations WHERE file_id IS NOT NULL GROUP BY file_id) o ON s.file_id = o.file_id",

@@ -48,10 +48,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_checkpoint(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (single-machine tests) one is made."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a session of one machine gets one; on a cluster that is an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.gettempdir() + "/paperloom-checkpoint"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)

@@ -5,6 +5,7 @@ XLSX and Markdown are reports for people: XLSX streams rows to the driver up to
 
 from __future__ import annotations
 
+import json
 import zipfile
 from datetime import datetime, timezone
 from pathlib import Path
@@ -23,29 +24,39 @@ def to_csv(df: DataFrame, path: str) -> str:
 
 
 def to_json(df: DataFrame, path: str) -> str:
-    """SNK-2: a folder of JSON lines; the envelope's count and time are in _meta.json beside them."""
+    """SNK-2: a folder of JSON lines."""
     df.write.mode("overwrite").json(path)
     return path
 
 
-def json_envelope(df: DataFrame) -> DataFrame:
-    """SNK-2 as one row of text, for small exports: exported_at, total_documents, documents."""
-    packed = df.agg(F.count("*").alias("total_documents"), F.collect_list(F.struct(*df.columns)).alias("documents"))
-    stamp = F.lit(datetime.now(timezone.utc).isoformat(timespec="seconds"))
-    return packed.select(F.to_json(F.struct(stamp.alias("exported_at"), "total_documents", "documents")).alias("value"))
+def write_envelope(df: DataFrame, path: str) -> str:
+    """SNK-2: one JSON file with exported_at, total_documents and documents, written row by row on the driver; for large exports use to_json."""
+    n = df.count()
+    with open(path, "w", encoding="utf-8") as f:
+        stamp = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        f.write('{\n  "exported_at": ' + json.dumps(stamp) + ',\n  "total_documents": ' + str(n) + ',\n  "documents": [')
+        for k, r in enumerate(df.toLocalIterator()):
+            f.write(("," if k else "") + "\n    " + json.dumps(r.asDict(), ensure_ascii=False, default=str))
+        f.write("\n  ]\n}\n")
+    return path
+
+
+def label(kind):
+    """RP-3: the type as exports for people show it."""
+    return F.when(F.coalesce(kind, F.lit("")) == "", "Other").otherwise(F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))))
 
 
 def summary(df: DataFrame) -> dict:
     """AG-5: total, counts by strategy, mean of positive confidences."""
     row = df.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)), 3).alias("mean")).first()
-    by = {r.strategy: r["count"] for r in df.groupBy("strategy").count().orderBy("strategy").collect()}
+    by = {r.extraction_method: r["count"] for r in df.groupBy("extraction_method").count().orderBy("extraction_method").collect()}  # one row a method
     return {"total": row.n, "mean_confidence": row["mean"], "by_strategy": by}
 
 
 def to_markdown(df: DataFrame, path: str) -> str:
     """SNK-4: summary, strategies and the first twenty rows."""
     s = summary(df)
-    top = df.orderBy("canonical_name", "original_path").limit(20).select(F.left("original_name", F.lit(30)), F.left("canonical_name", F.lit(35)), F.left("document_type", F.lit(20))).collect()
+    top = df.orderBy("renamed_file", "original_location").limit(20).select(F.left("original_file", F.lit(30)), F.left("renamed_file", F.lit(35)), F.left(label(F.col("document_type")), F.lit(20))).collect()
     lines = ["# Report", "", "| total | mean confidence |", "|---|---|", f"| {s['total']} | {s['mean_confidence']} |", "", "| strategy | documents |", "|---|---|"]
     lines += [f"| {k} | {v} |" for k, v in s["by_strategy"].items()]
     lines += ["", "| original | new name | type |", "|---|---|---|"] + [f"| {a} | {b} | {c} |" for a, b, c in top]
@@ -55,6 +66,7 @@ def to_markdown(df: DataFrame, path: str) -> str:
 
 def to_xlsx(df: DataFrame, path: str) -> str:
     """SNK-3: one sheet with a serial number, a bold frozen header and a filter, and a summary sheet, written as plain OOXML."""
+    df = df.withColumn("document_type", label(F.col("document_type"))).orderBy("renamed_file", "original_location")
     columns = ["Sr. No.", *df.columns]
     letter = lambda i: (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
 

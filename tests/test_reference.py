@@ -52,12 +52,32 @@ def test_titles(spark):
     assert best(spark, X.find_title, rows) == [("A significant first line here", 0.35), ("A proper title", 0.65), None, ("The stability of ships", 0.75), None, None]
 
 
-@pytest.mark.parametrize("raw, want", [("DNV — Rules for Steel Ships (Part 3)", "dnv_rules_for_steel_ships_part_3"), ("Wärtsilä 12V46F Engine Manual", "wartsila_12v46f_engine_manual"), ("con", "con_file"), ("", ""), (None, ""), ("a\nb", "ab"), ("x" * 90, "x" * 76), ("Straße/№", "strasse№")])
+@pytest.mark.parametrize("raw, want", [("DNV — Rules for Steel Ships (Part 3)", "dnv_rules_for_steel_ships_part_3"), ("Wärtsilä 12V46F Engine Manual", "wartsila_12v46f_engine_manual"), ("con", "con_file"), ("", ""), (None, ""), ("a\nb", "ab"), ("x" * 90, "x" * 76), ("Straße/№", "strasse№"), ("Отчёт о судне «Заря»", "otchiot_o_sudne_«zaria»"), ("Έκθεση πλοίου", "ekthese_ploiou"), ("Größe Ångström Łódź", "grosse_angstrom_lodz"), ("a+b=c'~`d", "a+b=c'~`d"), ("x" * 75 + "__y", "x" * 75)])
 def test_sanitised(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "s string")
     assert df.select(F.expr(N.sanitised(SPARK, "s"))).first()[0] == want
 
 
+def test_names_by_template(spark):
+    blank = {f: None for f in R.ALL_FIELDS}
+
+    def name(template=R.CONFIG_TEMPLATE, separator="_", file_id="0123456789abcdef", path="/in/Scan 7.PDF", length=80, lower=True, accents=False, **given):
+        values = {f: ({"value": given[f]} if f in given else None) for f in blank}
+        schema = "file_id string, original_path string, target_dir string, merged struct<" + ", ".join(f"{f}:struct<value:string>" for f in blank) + ">"
+        spark.createDataFrame([(file_id, path, None, values)], schema).createOrReplaceTempView("state_for_names")
+        from paperloom.plans.reference import names_with
+
+        return spark.sql(names_with(template, separator, length, lower, not accents)(SPARK).replace("@documents_state", "state_for_names")).first().canonical
+
+    assert name(maritime_document_type="class_certificate", organization="LR", vessel_name="MV Ann", title="The safety of a ship at sea and land", date="15/07/2023") == "lr_mv_ann_the_safety_ship_sea_15_07_2023.pdf"
+    assert name(maritime_document_type="contract", title="Charter", date="2020-01-02") == "charter_2020_01_02.pdf"
+    assert name(document_type="report", organization="DNV", title="Hull of the ship", year="2019") == "report_dnv_hull_the_ship_2019.pdf"  # no domain type: the configured template
+    assert name(maritime_document_type="nowhere", organization="DNV", title="Hull", year="2019") == "dnv_hull_2019.pdf"
+    assert name("{year} {org} no {report_id}{nothing}", "-", organization="DNV", report_id="A/1", year="2020") == "2020-dnv-no-a1.pdf"
+    assert name("{author_full}", author="Bjørn Ø.", accents=True, lower=False) == "Bjørn_Ø.pdf" and name("{author_last}", author="Smith, John et al.") == "smith.pdf"
+    assert name() == "scan_7.pdf" and name(path=None) == "0123456789ab.pdf" and name("{title_full}", length=12, title="abcdefgh ijk") == "abcdefgh.pdf"
+
+
 def test_broad_domain(spark):
     df = spark.createDataFrame([("invoice",), ("",), ("zebra",), ("report",)], "t string")
     assert [r[0] for r in df.select(F.expr(N.broad_domain(SPARK, "t"))).collect()] == ["financial", "academic", "general", "academic"]
