@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extra, fields, oracles, reference, state, timestamps
+from .plans import extra, fields, oracles, reference, renames, state, timestamps
 from .plans.runner import oracle, query
 
 FLAGSHIP = extra.quality_routes
@@ -13,6 +13,7 @@ def queries() -> dict:
     out.update(fields.QUERIES)
     out.update(extra.QUERIES)
     out.update(state.QUERIES)
+    out.update(renames.QUERIES)
     out.update(timestamps.QUERIES)
     return out
 
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracles.SQL)
     out.update(extra.oracles())
     out.update(state.SQL)
+    out.update(renames.SQL)
     out.update(timestamps.SQL)
     return out

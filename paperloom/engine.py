@@ -11,7 +11,7 @@ from . import logs
 from .functions import quality
 from .functions import rules as R
 from .operators import claims, oplog
-from .plans import fields, state
+from .plans import fields, renames, state
 from .plans.reference import BUILD, names_with
 from .plans.runner import run
 from .session import build_session, ship, spread, table
@@ -59,7 +59,7 @@ class Engine:
 
     def plan_renames(self) -> DataFrame:
         """Operations in the order in which they are applied: folders first."""
-        return self._run("rename_operations").orderBy("step", "target_path")
+        return renames.operations(table(self.spark, self.tables, "documents_state"), self.config.naming.collision_strategy).select("step", "operation", "source_path", "target_path").orderBy("step", "target_path")
 
     def plan_folders(self, strategy: str | None = None) -> DataFrame:
         name = f"folder_{strategy or self.config.organizer.strategy}"

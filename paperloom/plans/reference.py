@@ -84,8 +84,8 @@ FROM (SELECT file_id, {d.size(d.extract_all("coalesce(raw_text, '')", r'[^ \t\n\
 
 @register
 def exact_dedup(d):
-    """DD-1: of files with the same identity the first path in order."""
-    return "SELECT file_id, original_path, n_copies FROM (SELECT file_id, original_path, row_number() OVER (PARTITION BY file_id ORDER BY original_path) AS rn, count(*) OVER (PARTITION BY file_id) AS n_copies FROM @corpus) t WHERE rn = 1"
+    """DD-1: of files with the same identity the first path in order; counted as they are grouped, so copies of one file are no group in one task."""
+    return "SELECT file_id, min(original_path) AS original_path, count(*) AS n_copies FROM @corpus GROUP BY file_id"
 
 
 @register
@@ -215,13 +215,11 @@ def _collision(d: Spark, strategy: str) -> str:
     return f"SELECT *, CASE WHEN k = 1 THEN canonical ELSE {stem} || '_' || {mark} || '.pdf' END AS final FROM (SELECT *, row_number() OVER (PARTITION BY lower(canonical) ORDER BY canonical, file_id) AS k FROM n) t"
 
 
-@register
 def collision_suffix(d):
-    """NM-8 by number; the partitions are the names, so equal names alone meet in a task."""
+    """NM-8 by number."""
     return f"WITH {_names(d)} SELECT file_id, final FROM ({_collision(d, 'suffix')}) t"
 
 
-@register
 def collision_hash(d):
     """NM-8 by identity."""
     return f"WITH {_names(d)} SELECT file_id, final FROM ({_collision(d, 'hash')}) t"
@@ -385,7 +383,6 @@ def markdown_top20(d):
     return f"SELECT left(original_file, 30) AS original_file, left(renamed_file, 35) AS renamed_file, left({export_label(d, 'document_type')}, 20) AS document_type FROM ({_export(d)}) t ORDER BY t.renamed_file, t.original_location LIMIT 20"
 
 
-@register
 def rename_plan(d):
     """OP-1, OP-4: operations of the completed documents; identical names are skipped, clashing ones numbered."""
     folder = d.replace("original_path", r"/[^/]*$")
@@ -395,13 +392,11 @@ t AS (SELECT file_id, original_path AS source_path, {folder} AS source_dir, {d.r
 SELECT file_id, CASE WHEN dir = source_dir THEN 'rename' ELSE 'move' END AS operation, source_path, dir || '/' || final AS target_path FROM t WHERE source_path <> dir || '/' || final"""
 
 
-@register
 def rename_folders(d):
     """OP-1: folders to make, once each."""
     return f"SELECT {d.replace('target_path', r'/[^/]*$')} AS folder, count(*) AS n FROM ({rename_plan(d)}) p WHERE operation = 'move' GROUP BY {d.replace('target_path', r'/[^/]*$')}"
 
 
-@register
 def rename_operations(d):
     """OP-1: all operations in order of kind: folders to make, once each, where no file lies in them yet, then the moves."""
     target = d.replace("target_path", r"/[^/]*$")
@@ -411,7 +406,6 @@ SELECT 0 AS step, '' AS file_id, 'mkdir' AS operation, '' AS source_path, m.fold
 UNION ALL SELECT 1 AS step, file_id, operation, source_path, target_path FROM p"""
 
 
-@register
 def plan_summary(d):
     """OP-2: a dry run: completed files, operations, files left as they are, errors."""
     return f"SELECT (SELECT count(DISTINCT file_id) FROM @documents_state WHERE status = 'complete') AS total, count(*) AS operations, (SELECT count(DISTINCT file_id) FROM @documents_state WHERE status = 'complete') - sum(step) AS skipped, 0 AS errors, true AS dry_run FROM ({rename_operations(d)}) p"

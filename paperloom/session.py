@@ -24,6 +24,7 @@ def build_session(app: str = "paperloom", cores: str = "*", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PAPERLOOM_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.warehouse.dir", tempfile.gettempdir() + "/paperloom-warehouse")
     )
     for key, value in conf.items():

@@ -6,7 +6,7 @@ import hashlib
 from fnmatch import fnmatch
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,5 +81,4 @@ def scan(spark: SparkSession, source: str, patterns: tuple[str, ...] = ("*.pdf",
             return spark.createDataFrame([], SCHEMA)
         files = reader.load(root).select("path", "length")
     rows = files.select(head_identity("path", "length").alias("file_id"), F.regexp_replace("path", "^file:/*", "/").alias("original_path"), F.col("length").alias("file_size_bytes"))
-    first = Window.partitionBy("file_id").orderBy("original_path")
-    return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    return rows.groupBy("file_id").agg(F.min(F.struct("original_path", "file_size_bytes")).alias("s")).select("file_id", "s.*")
