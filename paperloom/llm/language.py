@@ -158,7 +158,7 @@ def train(texts: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     for code in LANGUAGES:
         top = ranked.where(F.col("code") == code).orderBy("h", "file_id").limit(TRAIN_DOCUMENTS)
         parts = top if parts is None else parts.unionByName(top)
-    sampled = texts.join(F.broadcast(parts.select("file_id", "code", "h").distinct()), "file_id")  # at most TRAIN_DOCUMENTS ids a language
+    sampled = texts.select("file_id", "text").join(F.broadcast(parts.select("file_id", "code", "h").distinct()), "file_id")  # at most TRAIN_DOCUMENTS ids a language
 
     def vetted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -383,7 +383,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def counted(texts: DataFrame) -> DataFrame:
     """word, after (empty for the word alone), n over texts(text)."""
-    return cut(texts.select("text").mapInPandas(skip_empty(_counts), "word string, after string, n bigint").groupBy("word", "after").agg(F.sum("n").alias("n")))
+    return cut(texts.select("text").where(F.col("text").isNotNull()).mapInPandas(skip_empty(_counts), "word string, after string, n bigint").groupBy("word", "after").agg(F.sum("n").alias("n")))
 
 
 def _deletion_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -488,7 +488,7 @@ def found_noise(texts: DataFrame, scanned: DataFrame) -> DataFrame:
     """file_id, field_name, noise_kind of scanned(file_id, field_name, text); texts(text) are all that words are counted in."""
     counts = counted(texts)
     options, lexicon, common = build_index(counts)
-    looks = _looks(scanned, common, whole=False)
+    looks = _looks(scanned.select("file_id", "field_name", "text").where(F.col("text").isNotNull()), common, whole=False)
     spots = looks.select("file_id", "field_name", F.explode("spots").alias("s")).select("file_id", "field_name", "s.*")
     wrong, own = decided(spots, counts, options, lexicon)
     kinds = [F.when(F.col(k), F.lit(k)) for k in ("hyphenation", "running_header", "page_number")]
@@ -502,7 +502,7 @@ def repaired(texts: DataFrame, scanned: DataFrame) -> DataFrame:
     counts = counted(texts)
     options, lexicon, common = build_index(counts)
     key = ["file_id", "field_name"]
-    one = scanned.dropDuplicates(key)
+    one = scanned.select(*key, "text").where(F.col("text").isNotNull()).dropDuplicates(key)
     looks = _looks(one, common, whole=True)
     wrong, own = decided(looks.select(*key, F.explode("spots").alias("s")).select(*key, "s.*"), counts, options, lexicon)
     rights = wrong.where(F.col("right").isNotNull()).groupBy(*key).agg(F.collect_list(F.struct("spot", "piece", "right")).alias("rights"))  # words of one text

@@ -194,6 +194,41 @@ def test_pairs_seen_once_a_batch_are_counted(spark):
     assert sum(int(x[x.after == "item"].n.sum()) for x in one_each) == 3
 
 
+def noisy_texts(rng, n):
+    words = "the vessel was examined on board during the survey and no open item remains concerning the corridor bulkhead office documents since last issue".split()
+    wrong = {"vessel": "vesscl", "during": "durinq", "corridor": "corrldor", "concerning": "conceming", "office": "oﬃce", "survey": "surveu", "bulkhead": "bulkhe@d"}
+    out = []
+    for i in range(n):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            line = " ".join(wrong.get(w, w) if rng.random() < 0.04 else w for w in rng.choices(words, k=9))
+            lines.append(line + rng.choice(["", ".", "", " docu-\nments are here"]))
+        if i % 3 == 0:
+            lines.insert(2, "REPORT OF THE YARD")
+            lines += ["Page 1", "REPORT OF THE YARD", "and goes on", "Page 2"]
+        out.append((f"f{i}", "raw_text", "\n".join(lines)))
+    return out
+
+
+def test_noise_against_one_text_at_a_time(spark):
+    """The distributed index finds what a lexicon in memory finds, but for what only context admits."""
+    rows = noisy_texts(random.Random(12), 250)
+    frame = spark.createDataFrame([*rows, rows[0], ("n", "raw_text", None), ("b", "raw_text", " ")], "file_id string, field_name string, text string").withColumn("word", F.lit("clash")).withColumn("rights", F.lit("clash"))
+    got = {(r.file_id, r.noise_kind) for r in ocr_noise.found_noise(frame, frame).collect()}
+    counts = {r.word: r.n for r in ocr_noise.counted(frame).where("after = ''").collect() if r.n >= O.MIN_COUNT and not O._SYMBOL_INSIDE.search(r.word)}
+    lexicon = O.Lexicon(counts)
+    lexicon.purge()
+    want = {(f, kind) for f, _, text in rows for kind in O.noise_kinds(text, lexicon)}
+    assert want <= got and all(kind == "misread" for _, kind in got - want) and {k for _, k in got} == {"hyphenation", "misread", "page_number", "running_header"}
+    fixed = {r.file_id: r for r in ocr_noise.repaired(frame, frame).collect()}
+    assert set(fixed) == {f for f, _, _ in rows} | {"b"} and fixed["b"].text == ""
+    joined = " ".join(r.text for r in fixed.values())
+    assert not any(w in joined for w in ("vesscl", "durinq", "corrldor", "conceming", "oﬃce", "bulkhe@d", "docu-", "REPORT OF", "Page 1"))
+    assert joined.count("surveu") <= 0.4 * sum(text.count("surveu") for _, _, text in rows)  # its last letter is wrong: only its neighbours tell
+    empty = frame.limit(0)
+    assert ocr_noise.found_noise(empty, empty).count() == 0 and ocr_noise.repaired(empty, empty).count() == 0
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
