@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extra, fields, oracles, reference, renames, state, timestamps
+from .plans import extra, fields, oracles, reference, renames, services, state, timestamps
 from .plans.runner import oracle, query
 
 FLAGSHIP = extra.quality_routes
@@ -14,6 +14,7 @@ def queries() -> dict:
     out.update(extra.QUERIES)
     out.update(state.QUERIES)
     out.update(renames.QUERIES)
+    out.update(services.QUERIES)
     out.update(timestamps.QUERIES)
     return out
 
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(extra.oracles())
     out.update(state.SQL)
     out.update(renames.SQL)
+    out.update(services.sql())
     out.update(timestamps.SQL)
     return out

@@ -98,10 +98,26 @@ SELECT f.file_id, CAST(coalesce(b.bin, 0) AS INT) AS threshold FROM (SELECT DIST
 _FILES = "SELECT parse_filename(filename) AS name, sha256(content[1:65536] || CAST(CAST(size AS VARCHAR) AS BLOB)) AS file_id, size AS file_size_bytes FROM read_blob('/root/testdata/sf0.01/{}.parquet')"
 
 
+def _fuzzy() -> str:
+    """The tables hold embedded dates of the strict forms alone; free text is tested by cases."""
+    from . import oracles as O
+
+    return " UNION ALL ".join(f"SELECT file_id, '{k}' AS date_key, pdf_metadata['{k}'] AS raw, {O._embedded_day(f'pdf_metadata[{O.q(k)}]')} AS day FROM corpus WHERE pdf_metadata['{k}'] IS NOT NULL" for k in R.DATE_KEYS)
+
+
+def _json() -> str:
+    from ..functions.dialect import DUCK
+    from .reference import BUILD
+
+    return f"SELECT CAST(to_json(t) AS VARCHAR) AS value FROM ({BUILD['export_csv_rows'](DUCK).replace('@', '')}) t"
+
+
 def oracles() -> dict[str, str]:
     q = quality.oracle_sql()
     return {
         "otsu_thresholds": _OTSU,
+        "fuzzy_dates": _fuzzy(),
+        "json_documents": _json(),
         "scan_files": _FILES.format("*"),
         "scan_one_file": f"SELECT file_id, file_size_bytes FROM ({_FILES.format('region')}) t",
         "text_quality": q,
