@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 
 def create_job(jobs: DataFrame, state: DataFrame, job_id: str, source: str) -> DataFrame:
     """jobs with one more, running, that has all files of the state before it."""
-    total = state.agg(F.count("*").alias("total_files")).join(jobs.agg((F.coalesce(F.max("started_seq"), F.lit(0)) + 1).alias("started_seq")))  # two single rows
-    row = total.select(F.lit(job_id).alias("job_id"), F.lit(source).alias("source_path"), "started_seq", "total_files", F.lit(0).cast("bigint").alias("processed_files"), F.lit(0).cast("bigint").alias("error_count"), F.lit("running").alias("status"))
+    total, number = state.count(), jobs.agg(F.coalesce(F.max("started_seq"), F.lit(0)).alias("n")).first().n + 1
+    row = jobs.sparkSession.createDataFrame([(job_id, source, number, total, 0, 0, "running")], "job_id string, source_path string, started_seq bigint, total_files bigint, processed_files bigint, error_count bigint, status string")
     return jobs.unionByName(row, allowMissingColumns=True)
 
 
 def complete_job(jobs: DataFrame, state: DataFrame, job_id: str) -> DataFrame:
     """jobs with one complete: its counts are those of the state."""
-    done = state.agg(F.count_if(F.col("status") == "complete").alias("__done"), F.count_if(F.col("status") == "error").alias("__failed"))
+    done = state.agg(F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("status") == "error").alias("failed")).first()
     here = F.col("job_id") == job_id
-    out = jobs.join(F.broadcast(done))  # one row
-    out = out.withColumns({"processed_files": F.when(here, F.col("__done")).otherwise(F.col("processed_files")), "error_count": F.when(here, F.col("__failed")).otherwise(F.col("error_count")), "status": F.when(here, "complete").otherwise(F.col("status"))})
-    return out.drop("__done", "__failed")
+    return jobs.withColumns({"processed_files": F.when(here, F.lit(done.complete)).otherwise(F.col("processed_files")), "error_count": F.when(here, F.lit(done.failed)).otherwise(F.col("error_count")), "status": F.when(here, "complete").otherwise(F.col("status"))})
 
 
 def latest_job(jobs: DataFrame) -> str | None:

@@ -74,9 +74,10 @@ def rename_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-2: a dry run: completed files, operations, files left as they are, errors."""
     state = _state(spark, sf_dir)
-    done = state.where(F.col("status") == "complete").agg(F.countDistinct("file_id").alias("total"))
-    planned = operations(state).agg(F.count("*").alias("operations"), F.coalesce(F.sum("step"), F.lit(0)).alias("moved"))
-    return done.join(planned).select("total", "operations", (F.col("total") - F.col("moved")).alias("skipped"), F.lit(0).alias("errors"), F.lit(True).alias("dry_run"))  # two single rows
+    done = state.where(F.col("status") == "complete").agg(F.countDistinct("file_id").alias("total"), F.lit(0).cast("bigint").alias("operations"), F.lit(0).cast("bigint").alias("moved"))
+    planned = operations(state).agg(F.lit(0).cast("bigint").alias("total"), F.count("*").alias("operations"), F.coalesce(F.sum("step"), F.lit(0)).alias("moved"))
+    both = done.unionByName(planned).agg(*[F.sum(c).alias(c) for c in ("total", "operations", "moved")])
+    return both.select("total", "operations", (F.col("total") - F.col("moved")).alias("skipped"), F.lit(0).alias("errors"), F.lit(True).alias("dry_run"))
 
 
 QUERIES = {f.__name__: f for f in (collision_suffix, collision_hash, rename_plan, rename_folders, rename_operations, plan_summary)}
