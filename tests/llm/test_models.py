@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -196,12 +197,12 @@ def test_pairs_seen_once_a_batch_are_counted(spark):
 
 def noisy_texts(rng, n):
     words = "the vessel was examined on board during the survey and no open item remains concerning the corridor bulkhead office documents since last issue".split()
-    wrong = {"vessel": "vesscl", "during": "durinq", "corridor": "corrldor", "concerning": "conceming", "office": "oﬃce", "survey": "surveu", "bulkhead": "bulkhe@d"}
+    wrong = {"vessel": "vesscl", "during": "durinq", "corridor": "corrldor", "concerning": "conceming", "office": "oﬃce", "bulkhead": "bulkhe@d"}
     out = []
     for i in range(n):
         lines = []
         for _ in range(rng.randrange(1, 9)):
-            line = " ".join(wrong.get(w, w) if rng.random() < 0.04 else w for w in rng.choices(words, k=9))
+            line = " ".join(("surve" + rng.choice("bcdfghjklmnpqtvwxz") if w == "survey" else wrong.get(w, w)) if rng.random() < 0.04 else w for w in rng.choices(words, k=9))
             lines.append(line + rng.choice(["", ".", "", " docu-\nments are here"]))
         if i % 3 == 0:
             lines.insert(2, "REPORT OF THE YARD")
@@ -224,7 +225,8 @@ def test_noise_against_one_text_at_a_time(spark):
     assert set(fixed) == {f for f, _, _ in rows} | {"b"} and fixed["b"].text == ""
     joined = " ".join(r.text for r in fixed.values())
     assert not any(w in joined for w in ("vesscl", "durinq", "corrldor", "conceming", "oﬃce", "bulkhe@d", "docu-", "REPORT OF", "Page 1"))
-    assert joined.count("surveu") < 0.9 * sum(text.count("surveu") for _, _, text in rows)  # its last letter is wrong: only its neighbours tell
+    odd = lambda text: len(re.findall(r"\bsurve[^y]\b", text))  # noqa: E731 - the last letter is wrong: only the neighbours tell
+    assert odd(joined) < 0.9 * sum(odd(text) for _, _, text in rows)
     empty = frame.limit(0)
     assert ocr_noise.found_noise(empty, empty).count() == 0 and ocr_noise.repaired(empty, empty).count() == 0
 
@@ -338,3 +340,15 @@ def test_queries_are_registered(sf, spark):
 
     names = llm.queries()
     assert {f"p{i}_found" for i in (2, 3, 4, 5, 6, 7, 8, 10)} <= set(names) and any(n.startswith("p9_") for n in names) and set(names) <= set(entry.queries()) and set(llm.oracle_sql()) <= set(names)
+
+
+def test_every_query_on_empty_tables(spark, sf, tmp_path_factory):
+    import os
+
+    from paperloom import llm
+
+    folder = tmp_path_factory.mktemp("empty_llm")
+    for name in os.listdir(sf):
+        spark.read.parquet(f"{sf}/{name}").limit(0).coalesce(1).write.parquet(f"{folder}/{name}")
+    for name, call in llm.queries().items():
+        assert call(spark, str(folder)).count() == 0, name
