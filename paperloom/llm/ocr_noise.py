@@ -376,9 +376,19 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens = _TOKEN.findall(_JOIN.sub("", text).lower())
             words.update(tokens)
             pairs.update(zip(tokens, tokens[1:]))
-        rows = [(w, "", n) for w, n in words.items() if not w.isdigit()]
-        rows += [(a, b, n) for (a, b), n in pairs.items() if not a.isdigit() and not b.isdigit()]
-        yield pd.DataFrame(rows, columns=["word", "after", "n"])
+        digits = {w for w in words if w.isdigit()}
+        word, after, n = [], [], []
+        for w, k in words.items():
+            if w not in digits:
+                word.append(w)
+                after.append("")
+                n.append(k)
+        for (w, x), k in pairs.items():
+            if w not in digits and x not in digits:
+                word.append(w)
+                after.append(x)
+                n.append(k)
+        yield pd.DataFrame({"word": word, "after": after, "n": n})
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -388,22 +398,43 @@ def counted(texts: DataFrame) -> DataFrame:
 
 def _deletion_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(d, w, n, n >= MIN_COUNT and not _SYMBOL_INSIDE.search(w)) for w, n in zip(pdf.word, pdf.n) if eligible(w) for d in deletes(fold(w))]
-        yield pd.DataFrame(rows, columns=["key", "word", "n", "lexical"])
+        key, word, n, lexical = [], [], [], []
+        for w, k in zip(pdf.word, pdf.n):
+            if eligible(w):
+                forms = deletes(fold(w))
+                key += forms
+                word += [w] * len(forms)
+                n += [k] * len(forms)
+                lexical += [k >= MIN_COUNT and not _SYMBOL_INSIDE.search(w)] * len(forms)
+        yield pd.DataFrame({"key": key, "word": word, "n": n, "lexical": lexical})
+
+
+#: Confusions that change what strokes a word falls into.
+_UNLIKE = [(wrong, right) for wrong, right in CONFUSIONS if fold(wrong) != fold(right)]
+
+
+def _may_confuse(read: str, word: str) -> bool:
+    """Whether confusions alone could turn word into read: they leave the strokes as they are, but for a few."""
+    return _folded(read) == _folded(word) or any(wrong in read and right in word for wrong, right in _UNLIKE)
+
+
+_folded = lru_cache(maxsize=1 << 16)(fold)
 
 
 def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that can be misreadings. Where confusions alone do not explain a pair, its cost is at most one only for a single plain edit."""
     for pdf in batches:
         rows = []
         for u, v, n, m in zip(pdf.word, pdf.right, pdf.n, pdf.right_n):
-            cost = weighted_distance(u, v)
-            if cost < MAX_COST:
+            cost = weighted_distance(u, v) if _may_confuse(u, v) else None
+            if cost is not None and cost < MAX_COST:
                 rows.append((u, v, n, m, cost, "sure"))
-            elif cost <= EDIT_COST and m >= RATIO * max(MIN_COUNT, n):
-                if plain_edit(u, v):
-                    rows.append((u, v, n, m, cost, "plain"))
-                elif one_edit(u, v):
-                    rows.append((u, v, n, m, cost, "context"))
+            elif m >= RATIO * max(MIN_COUNT, n):
+                if cost is None:
+                    if kept := one_edit(u, v):
+                        rows.append((u, v, n, m, EDIT_COST, "plain" if kept[0] >= 1 and kept[1] >= INFLECTED else "context"))
+                elif cost <= EDIT_COST and (plain := plain_edit(u, v) or one_edit(u, v)):
+                    rows.append((u, v, n, m, cost, "plain" if plain is True else "context"))
         yield pd.DataFrame(rows, columns=["word", "right", "n", "right_n", "cost", "kind"])
 
 
