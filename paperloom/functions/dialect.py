@@ -65,9 +65,6 @@ class Spark:
         pattern = {"iso": "yyyy-MM-dd", "us": "M/d/yyyy", "eu": "d.M.yyyy", "B d Y": "MMMM d yyyy", "d B Y": "d MMMM yyyy", "d b Y": "d MMM yyyy", "basic": "yyyyMMdd"}[form]
         return f"try_to_date({x}, '{pattern}')"
 
-    def title_case(self, x: str) -> str:
-        return f"initcap({x})"
-
     def words_capital(self, x: str) -> str:
         """A capital first letter of each word, the rest small."""
         return f"initcap({x})"
@@ -75,18 +72,12 @@ class Spark:
     def day(self, x: str) -> str:
         return f"date_format({x}, 'yyyy-MM-dd')"
 
-    def year(self, x: str) -> str:
-        return f"year({x})"
-
     def key(self, m: str, key: str) -> str:
         return f"{m}['{key}']"
 
     def contains(self, x: str, part: str) -> str:
         return f"contains({x}, {self.text(part)})"
 
-    def concat_lists(self, *items: str) -> str:
-        return f"concat({', '.join(items)})"
-
     def unaccent(self, x: str) -> str:
         plain = {"a": "áàâãäåāăą", "c": "çćč", "d": "ďđ", "e": "éèêëēėęě", "g": "ğģ", "i": "íìîïīį", "l": "ľļ", "n": "ñńňņ", "o": "óòôõöōő", "r": "řŕ", "s": "šśş", "t": "ťţ", "u": "úùûüūůű", "y": "ýÿ", "z": "žźż"}
         low, to = "".join(plain.values()), "".join(k * len(v) for k, v in plain.items())
@@ -147,9 +138,6 @@ class Duck(Spark):
         pattern = {"iso": "%Y-%m-%d", "us": "%m/%d/%Y", "eu": "%d.%m.%Y", "B d Y": "%B %d %Y", "d B Y": "%d %B %Y", "d b Y": "%d %b %Y", "basic": "%Y%m%d"}[form]
         return f"CAST(try_strptime({x}, '{pattern}') AS DATE)"
 
-    def title_case(self, x: str) -> str:
-        return x
-
     def words_capital(self, x: str) -> str:
         return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ')"
 
@@ -159,12 +147,6 @@ class Duck(Spark):
     def contains(self, x: str, part: str) -> str:
         return f"contains({x}, {self.text(part)})"
 
-    def concat_lists(self, *items: str) -> str:
-        out = items[0]
-        for item in items[1:]:
-            out = f"list_concat({out}, {item})"
-        return out
-
     def unaccent(self, x: str) -> str:
         return f"strip_accents({x})"
 

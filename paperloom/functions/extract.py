@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import rules as R
 from .dialect import Spark
 
+
 def trimmed(d: Spark, x: str) -> str:
     return d.replace(x, r"^\s+|\s+$")
 

@@ -344,10 +344,6 @@ def metadata_stage(meta: dict) -> list[Found]:
     ]
 
 
-def keyword_list(raw: str | None) -> list[str]:
-    return [k for k in map(str.strip, (raw or "").split(",")) if k][:10]
-
-
 def _meta(value) -> dict:
     return {} if value is None else dict(value)
 

@@ -95,14 +95,13 @@ def normal_value(x: Column) -> Column:
 
 
 def reconciled(candidates: Column) -> Column:
-    """MG-1 to MG-3: of candidates (array of struct value, confidence, source, method, in the order of their sources) the most
-    confident, the first of equals; raised if the next agrees; a defined nothing if there is none."""
+    """MG-1: candidates (array of struct value, confidence, source, method, in the order of their sources) that are not blank, the most confident first, equals in their order."""
     present = F.filter(candidates, lambda c: F.coalesce(F.regexp_like(c["value"], F.lit(r"(?U)\S")), F.lit(False)))
-    ranked = F.transform(F.array_sort(F.transform(present, lambda c, i: F.struct((-c["confidence"]).alias("rank"), i.alias("place"), c.alias("c")))), lambda x: x["c"])
-    return ranked
+    return F.transform(F.array_sort(F.transform(present, lambda c, i: F.struct((-c["confidence"]).alias("rank"), i.alias("place"), c.alias("c")))), lambda x: x["c"])
 
 
 def _agreed(ranked: Column) -> Column:
+    """MG-2, MG-3: the first, raised if the second agrees; a defined nothing if there is none."""
     one, two = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     same = (normal_value(one["value"]) == normal_value(two["value"])) & (normal_value(one["value"]) != "")
     same = F.coalesce(same, F.lit(False))
