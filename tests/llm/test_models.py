@@ -319,6 +319,45 @@ def test_subjects(spark):
     assert S.subjects_of(texts.limit(0), spark.createDataFrame([], "file_id string, subject string")).count() == 0
 
 
+def test_subjects_are_fitted_on_all_documents_and_labels(spark):
+    usual, special = [f"plain{c}" for c in "abcdefgh"], [f"rare{c}" for c in "abcdef"]
+
+    def text(rng, words):
+        return " ".join(f"The team noted that the {rng.choice(words)} and the {rng.choice(words)} were in order." for _ in range(6))
+
+    ids = spark.range(4300).select(F.concat(F.lit("d"), "id").alias("file_id"))
+    order = [r.file_id for r in ids.orderBy(F.xxhash64(F.lit(1), "file_id"), "file_id").collect()]  # the last 60 are beyond any 4 000 by hash
+    rng = random.Random(3)
+    rows = [(f, text(rng, usual)) for f in order[:-60]] + [(f, text(rng, special)) for f in order[-60:]]
+    labels = [(f, "commercial") for f in order[:-60]] + [(f, "research") for f in order[-60:-30]]
+    texts = spark.createDataFrame(rows, "file_id string, text string").repartition(6)
+    got = {r.file_id: r.subject for r in S.subjects_of(texts, spark.createDataFrame(labels, "file_id string, subject string")).collect()}
+    assert sum(got.get(f) == "research" for f in order[-30:]) >= 28
+    docs = S.encoded(texts.unionByName(texts.limit(5)).unionByName(spark.createDataFrame([(order[0], text(rng, special))], "file_id string, text string")))
+    assert docs.count() >= 4305 and sorted(r.file_id for r in S.single(docs).collect()) == sorted(order)
+    assert S.fit(docs.limit(0), spark.createDataFrame([], "file_id string, subject string")) is None
+
+
+def test_batched_inference_against_one_document_at_a_time():
+    rng = np.random.default_rng(4)
+    phi = rng.random((5, 400)) ** 4
+    phi /= phi.sum(axis=1, keepdims=True)
+    rows = [rng.integers(0, 400, n) for n in [*rng.integers(1, 60, 300), 5000]]
+    theta, before, by = S.infer(rows, phi)
+    at = 0
+    for d, row in enumerate(rows):
+        terms, counts = np.unique(row, return_counts=True)
+        now = np.full(5, 1 / 5)
+        for _ in range(S.INNER):
+            last, r = now, now[:, None] * phi[:, terms]
+            r /= r.sum(axis=0)
+            now = r @ counts + S.ALPHA
+            now /= now.sum()
+        assert theta[d] == pytest.approx(now) and before[d] == pytest.approx(last)
+        assert phi[:, terms] * last[:, None] * by[at : at + len(terms)] == pytest.approx(r * counts)
+        at += len(terms)
+
+
 def test_infer_proportions_sum_to_one():
     phi = np.array([[0.9, 0.1], [0.1, 0.9]])
     theta, *_ = S.infer([np.array([0, 0, 1]), np.array([1])], phi)
