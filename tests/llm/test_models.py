@@ -281,6 +281,20 @@ def test_names_with_a_slip_in_each_and_companies(spark):
     assert len({entity[f] for f in firms[:3]}) == 1 and entity[firms[3]] == entity[firms[4]] != entity[firms[0]]
 
 
+def test_plans_of_names_stay_small(spark, monkeypatch):
+    """The driver plans each query anew after every stage: no query may hold the plans of several others."""
+    joins, cut = [], N.cut
+
+    def counted(df):
+        joins.append(len(re.findall(r"^[\s:+-]*Join ", df._jdf.queryExecution().optimizedPlan().toString(), re.M)))
+        return cut(df)
+
+    monkeypatch.setattr(N, "cut", counted)
+    rows = [("author", v, 1) for v in ("Henrik Proniwell", "Henrik Pronywell", "H. Proniwell", "Z. Ackertome")]
+    assert N.linked(spark.createDataFrame(rows, "field_name string, value string, n bigint"), ambiguous=True).count() == 4
+    assert 1 < max(joins) <= 4
+
+
 def test_ambiguous_short_spellings_keep_an_entity(spark):
     rows = [("author", v, 1) for v in ("Edward Skorebeior", "Elizabeth Skorebeior", "E. Skorebeior", "Skorebeior, E.", "Skorebeior, E. K.")]
     entity = {r.value: r.entity for r in N.linked(spark.createDataFrame(rows, "field_name string, value string, n bigint"), ambiguous=True).collect()}
